@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, common, exact, mixing, simhash, wavelet
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +16,35 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(documents(spark, sf_dir))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_wavelet(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    path = f"{common.shared_dir(spark)}/shards"
+    return wavelet.read(wavelet.write(documents(spark, sf_dir), path, vocabulary or public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op4_exact": op4_exact,
+        "op6_mixing": op6_mixing,
+        "op8_wavelet": op8_wavelet,
+        "op9_bpe": op9_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_exact": exact.ORACLE,
+        "op6_mixing": mixing.ORACLE,
+    }
