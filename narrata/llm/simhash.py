@@ -8,8 +8,9 @@ equal half of the second (its budget is one bit) are the join key; the longer
 chains prune the candidates, and the full Hamming check decides.
 
 Only distinct fingerprints are paired.  Keys that more than ``HOT`` of them
-share are compared block against block and give a spanning forest of links
-instead of all pairs, so that nothing is capped and nothing explodes.
+share are compared block against block, all pairs in a numpy pass, and give a
+spanning forest of links instead of the pairs: nothing is capped, and a large
+group of near copies does not return the square of its size.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from .common import LOWER
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Bits by which linked fingerprints may differ.
 DISTANCE = 4
-#: Distinct fingerprints that share a key before they are compared in blocks of about this many.
-HOT = 1024
+#: Keys that more distinct fingerprints share are compared in blocks, which give a spanning forest.
+HOT = 32
+#: Fingerprints in a block.
+BLOCK = 1024
 
 
 def fingerprint(words: list[bytes], width: int = 4) -> int:
@@ -115,7 +118,7 @@ def _block_links(batches):
     yield pa.record_batch([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
 
 
-def links(distinct: DataFrame, folder: str, hot: int = HOT) -> DataFrame:
+def links(distinct: DataFrame, folder: str, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """(a, b) with a < b: links between distinct fingerprints ``distinct(fp)``.
 
     Complete up to reachability: within keys that over ``hot`` fingerprints
@@ -134,7 +137,7 @@ def links(distinct: DataFrame, folder: str, hot: int = HOT) -> DataFrame:
         .filter(F.bit_count(x) <= DISTANCE)
         .select("a", "b")
     )
-    blocks = F.ceil(F.col("n") / F.lit(hot)).cast("int")
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     dealt = (
         keyed.filter(F.col("n") > hot)
         .withColumn("m", blocks)
@@ -153,12 +156,11 @@ def _group(fn):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, hot: int = HOT) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_links): one row per row of ``docs``.
+def near_duplicates(docs: DataFrame, width: int = 4, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """(doc_id, fingerprint, component_id): one row per row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over links, its own
-    included; ``n_links`` counts the distinct other fingerprints linked (a
-    lower bound within keys that over ``hot`` share).  Empty and null texts
+    included.  Empty and null texts
     have fingerprint zero and link like any other; rows that repeat a doc_id
     are kept; a null doc_id never becomes a component's id unless no other is
     there.  Other columns are ignored; an empty table gives an empty result.
@@ -166,18 +168,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, hot: int = HOT) -> DataFram
     folder = common.shared_dir(docs.sparkSession)
     fps = common.stored(fingerprints(docs, width), folder, "fps")
     reps = common.stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), folder, "reps")
-    edges = links(reps.select("fp"), folder, hot)
+    edges = links(reps.select("fp"), folder, hot, block)
     roots = common.connected_components(edges, folder)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("d_fp")).groupBy("d_fp").agg(F.count("*").alias("links"))
-    linked = roots.join(reps, roots.v == reps.fp).join(degree, F.col("v") == F.col("d_fp"), "left").select("v", "root", "first", "links")
+    linked = roots.join(reps, roots.v == reps.fp).select("v", "root", "first")
     ids = linked.groupBy("root").agg(F.min("first").alias("component"))
-    of_linked = linked.join(ids, "root").select("v", "component", "links")
+    of_linked = linked.join(ids, "root").select("v", "component")
     # Fingerprints of one row need no join: their component is the row itself.
     classes = reps.join(of_linked, reps.fp == of_linked.v, "left").filter("n > 1 or v is not null").select(
-        F.col("fp").alias("c_fp"), F.coalesce("component", "first").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+        F.col("fp").alias("c_fp"), F.coalesce("component", "first").alias("component"))
     return fps.join(classes, fps.fp == classes.c_fp, "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
     )
