@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact, mixing, simhash, wavelet
+from . import bpe, common, exact, mixing, simhash, suffix, wavelet
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
@@ -36,6 +40,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataF
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op2_suffix": op2_suffix,
         "op4_exact": op4_exact,
         "op6_mixing": op6_mixing,
         "op8_wavelet": op8_wavelet,
