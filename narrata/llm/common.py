@@ -83,7 +83,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
     """Cuts a record batch into runs of rows whose ``column`` holds about ``most_bytes`` (a row at least)."""
     if batch.num_rows == 0:
         return
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0))
     ends = np.cumsum(sizes.astype(np.int64))
     at = 0
     while at < len(sizes):
@@ -93,7 +93,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
         at = to
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str, most_bytes: int = 4 << 20) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, column: str, most_bytes: int = 4 << 20) -> DataFrame:
     """mapInArrow over bounded slices of each batch; memory stays bounded whatever the text lengths are."""
 
     def run(batches):

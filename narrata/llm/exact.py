@@ -58,7 +58,7 @@ def build_index(docs: DataFrame, folder: str, capacity: int = 4096, max_depth: i
 
 
 def exact_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), capacity: int = 4096, max_depth: int = 16) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256, *carry): one row per row of ``docs``.
+    """(doc_id, keep_id, group_size, kept, text_sha256): one row per row of ``docs``, with the columns ``carry`` as c_<name>.
 
     Of equal texts the row with the smallest doc_id is kept.  Null and empty
     texts are equal to each other; text of white space only becomes one space.
@@ -69,12 +69,12 @@ def exact_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), capacity: int
     """
     folder = common.shared_dir(docs.sparkSession)
     index = build_index(docs, folder, capacity, max_depth).select("h", "sha", "keep_id", "n")
-    rows = docs.select(F.col("doc_id").alias("doc_id"), normalised().alias("norm"), *[F.col(c).alias(f"c_{c}") for c in carry]).select(
-        "doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), *[f"c_{c}" for c in carry])
+    rows = docs.select(F.col("doc_id").alias("doc_id"), normalised().alias("norm"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry]).select(
+        "doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), *[f"`c_{c}`" for c in carry])
     return rows.join(index, ["h", "sha"]).select(
         "doc_id", "keep_id", F.col("n").cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"), *[F.col(f"c_{c}").alias(c) for c in carry])
+        F.lower(F.hex("sha")).alias("text_sha256"), *[f"`c_{c}`" for c in carry])
 
 
 ORACLE = r"""
