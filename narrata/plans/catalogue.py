@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import registry, star  # noqa: F401  each module registers its queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
