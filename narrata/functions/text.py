@@ -114,7 +114,7 @@ def dedupe_tokens(col: Column) -> Column:
 
 def entity_keys(col: Column) -> Column:
     """Capitalised words of three letters or more, lower-cased, without stop words."""
-    found = F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(r"(?<![A-Za-z0-9_])[A-Z][a-zA-Z][a-zA-Z]+(?![A-Za-z0-9_])"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-zA-Z][a-zA-Z]+(?![\p{L}\p{N}_])"), F.lit(0))
     return F.array_distinct(F.filter(F.transform(found, F.lower), lambda t: ~t.isin(*DEDUPE_STOPWORDS)))
 
 
@@ -126,7 +126,7 @@ def word_count(col: Column) -> Column:
 def is_durable(col: Column) -> Column:
     """A lasting fact: it has a number or a durable term."""
     low = F.lower(F.coalesce(col, F.lit("")))
-    return low.rlike(r"(?<![\p{L}\p{N}_])[0-9]+(?![\p{L}\p{N}_])") | F.arrays_overlap(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), strings(DURABLE_TERMS))
+    return low.rlike(r"(^|[^\p{L}\p{N}_])[0-9]+($|[^\p{L}\p{N}_])") | F.arrays_overlap(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), strings(DURABLE_TERMS))
 
 
 def generic_alias(col: Column) -> Column:
