@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import registry, star, texts  # noqa: F401  each module registers its queries
+from . import registry, scoring, star, temporal, texts  # noqa: F401  each module registers its queries
 
 
 def queries() -> dict:
