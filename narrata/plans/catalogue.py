@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import registry, scoring, star, streams, temporal, texts  # noqa: F401  each module registers its queries
+from . import extracts, registry, scoring, star, streams, temporal, texts  # noqa: F401  each module registers its queries
 
 
 def queries() -> dict:
