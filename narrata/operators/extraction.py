@@ -103,9 +103,9 @@ def scene_at(offsets: DataFrame, scenes: DataFrame, story: str, offset: str) ->
 
     The scenes of a story come as one sorted array, so nothing is paired.
     """
-    packed = scenes.groupBy(story).agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", "scene_no"))).alias("s"))
-    hit = F.get(F.filter("s", lambda x: (x["char_start"] <= F.col(offset)) & (F.col(offset) < x["char_end"])), F.lit(0))
-    return offsets.join(packed, story).withColumn("scene_no", F.coalesce(hit["scene_no"], F.element_at("s", -1)["scene_no"])).drop("s")
+    packed = scenes.groupBy(story).agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", "scene_no"))).alias("__scenes"))
+    hit = F.get(F.filter("__scenes", lambda x: (x["char_start"] <= F.col(offset)) & (F.col(offset) < x["char_end"])), F.lit(0))
+    return offsets.join(packed, story).withColumn("scene_no", F.coalesce(hit["scene_no"], F.element_at("__scenes", -1)["scene_no"])).drop("__scenes")
 
 
 def first_wins(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
