@@ -149,7 +149,7 @@ def reverse_edges(spark, d):
     return graph.reverse_edges(edges(spark, d)).select("source", "relation", "target")
 
 
-@query("""SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER w AS next_order, row_number() OVER w AS pos,
+@query("""SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER w AS next_order, (row_number() OVER w)::INT AS pos,
 date_diff('day', o_orderdate::DATE, (lead(o_orderdate) OVER w)::DATE)::INT AS gap_days FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def precedes_chain(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
