@@ -25,9 +25,15 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch: texts are long, so far fewer than Spark's default.
+BATCH_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once per application."""
+    """Sends this package to the executors' Python workers, once per application; keeps Arrow batches small."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)

@@ -7,17 +7,20 @@ the input.
 1. Parse.  Every window of ``length`` bytes is assigned to its minimizer, the
    least hash among its ``k``-byte strings.  Equal windows have equal
    minimizers, so windows whose minimizer occurs once in the corpus cannot
-   repeat.  Consecutive windows with one minimizer form a phrase.
-2. Index.  Distinct phrases whose minimizer occurs again are dealt out by
-   minimizer.  Each task builds run-length Burrows-Wheeler indexes over blocks
-   of whole minimizer groups: runs, their LF targets, and suffix samples at run
-   ends.  It streams each phrase through the index, from its end to its start,
-   one LF step per byte, and reads at every window start the matching statistic
-   against the neighbours in suffix order: where it reaches ``length``, the
-   window shares its class with them, and the earliest of the class survives.
-   A phrase that many documents share is indexed once, with its first place.
-3. Mark.  A repeated phrase's windows go, in all its places, but for those that
-   the index found to be the earliest of their class.
+   repeat.  Consecutive windows with one minimizer form a phrase.  As in
+   prefix-free parsing, the dictionary of distinct phrases is what gets indexed;
+   copies only count, with their first place.
+2. Runs.  Where a minimizer has one distinct phrase, the phrase's suffixes have
+   one context each: whole runs of the transform that need no sorting.  The
+   first place survives.
+3. Index.  The phrases of all other minimizers are dealt out by minimizer.  Each
+   task builds run-length Burrows-Wheeler indexes over blocks of whole minimizer
+   groups: runs, their LF targets, and suffix samples at run ends.  It streams
+   each phrase through the index, from its end to its start, one LF step per
+   byte, and reads at every window start the matching statistic against the
+   neighbours in suffix order: where it reaches ``length``, the window shares
+   its class with them, and the earliest of the class survives.
+4. Mark.  The windows of phrases with repeated minimizers go, but for survivors.
 
 A minimizer with over ``HOT`` distinct phrases (a common passage's edge in very
 many documents) would not fit a task; its windows are matched by a 128-bit hash
@@ -36,14 +39,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of a k-byte string under the minimizer hash.
-K = 20
+#: Bytes of a string under the minimizer hash: long enough that chance hardly repeats one.
+K = 40
 #: Distinct phrases of a minimizer that one index takes.
-HOT = 4096
+HOT = 20_000
 #: Bytes of phrases in an index block.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Bytes of text that are parsed at once.
-PARSED = 1 << 21
+PARSED = 1 << 20
 #: Base of the rolling hash (odd) and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -131,30 +134,55 @@ def minimizers(docs: DataFrame, length: int, k: int) -> DataFrame:
         m = parsed(batch.column("t").to_pylist(), length, k)[0]
         return pa.record_batch([pa.array(m.view(np.int64))], ["m"])
 
-    return common.map_slices(docs.select(common.text_bytes().alias("t")), run, "m long", "t", 1 << 21)
+    return common.map_slices(docs.select(common.text_bytes().alias("t")), run, "m long", "t", PARSED)
 
 
-PHRASE = "m long, s long, doc_id long, th long, pos int, n int, phrase binary"
+def repeated_places(docs: DataFrame, bitmap: np.ndarray, length: int, k: int) -> DataFrame:
+    """(doc_id, th, m, s, pos, n): per document, arrays over its phrases whose minimizer the bitmap holds.
 
-
-def repeated_phrases(docs: DataFrame, bitmap: np.ndarray, length: int, k: int) -> DataFrame:
-    """The phrases whose minimizer the bitmap holds: ``m`` and ``s`` (hash of the bytes) name them, ``th`` is the text's hash."""
+    ``s`` is the hash of a phrase's bytes, ``th`` that of the text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # of fixed size
 
     def run(batch):
         texts = batch.column("t").to_pylist()
-        m, doc, pos, n = parsed(texts, length, k)
-        keep = np.flatnonzero(common.in_bitmap(shared.value, m.view(np.int64)))
-        if not len(keep):
+        m, doc, pos, n, s, th = _kept_phrases(texts, shared.value, length, k)[:6]
+        if not len(m):
+            return None
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        offsets = pa.array(np.append(first, len(doc)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (m, s, pos.astype(np.int32), n.astype(np.int32))]
+        return pa.record_batch([batch.column("doc_id").take(pa.array(doc[first])), pa.array(th[doc[first]]), *lists], ["doc_id", "th", "m", "s", "pos", "n"])
+
+    return common.map_slices(_rows(docs), run, "doc_id long, th long, m array<long>, s array<long>, pos array<int>, n array<int>", "t", PARSED)
+
+
+def _kept_phrases(texts: list[bytes], bitmap: np.ndarray, length: int, k: int):
+    m, doc, pos, n = parsed(texts, length, k)
+    keep = np.flatnonzero(common.in_bitmap(bitmap, m.view(np.int64)))
+    m, doc, pos, n = m[keep].view(np.int64), doc[keep], pos[keep], n[keep]
+    own = [texts[d][p : p + c - 1 + length] for d, p, c in zip(doc.tolist(), pos.tolist(), n.tolist())]
+    s = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)).view(np.int64)
+    th = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts)).view(np.int64)
+    return m, doc, pos, n, s, th, own
+
+
+def phrase_texts(docs: DataFrame, bitmap: np.ndarray, length: int, k: int) -> DataFrame:
+    """(m, s, doc_id, th, pos, n, phrase): the phrases themselves, for minimizers that the bitmap holds."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # of fixed size
+
+    def run(batch):
+        m, doc, pos, n, s, th, own = _kept_phrases(batch.column("t").to_pylist(), shared.value, length, k)
+        if not len(m):
             return None
-        m, doc, pos, n = (x[keep] for x in (m, doc, pos, n))
-        own = [texts[d][p : p + c - 1 + length] for d, p, c in zip(doc.tolist(), pos.tolist(), n.tolist())]
-        s = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)).view(np.int64)
-        th = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)[doc]
         ids = batch.column("doc_id").take(pa.array(doc))
-        return pa.record_batch([pa.array(m.view(np.int64)), pa.array(s), ids, pa.array(th), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own, pa.binary())], ["m", "s", "doc_id", "th", "pos", "n", "phrase"])
+        return pa.record_batch([pa.array(m), pa.array(s), ids, pa.array(th[doc]), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own, pa.binary())], ["m", "s", "doc_id", "th", "pos", "n", "phrase"])
+
+    return common.map_slices(_rows(docs), run, "m long, s long, doc_id long, th long, pos int, n int, phrase binary", "t", PARSED)
 
-    return common.map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("t")), run, PHRASE, "t", 1 << 21)
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("t"))
 
 
 class RunLengthIndex:
@@ -172,7 +200,7 @@ class RunLengthIndex:
         inside = np.ones(n, bool)
         inside[ends - 1] = False
         sym[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
-        left = np.repeat(ends, lens + 1) - np.arange(n)  # symbols up to and with the terminator
+        left = (np.repeat(ends, lens + 1) - np.arange(n)).astype(np.int32)  # symbols up to and with the terminator
         # Ranks by the first 4 symbols, then doubled; what follows a terminator does not count.
         key = np.zeros(n, np.uint64)
         for i in range(4):
@@ -205,13 +233,13 @@ class RunLengthIndex:
     def _ranked(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
         ordered = key[order]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+        rank = np.empty(len(key), np.int32)
+        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]), dtype=np.int32)
         return rank
 
     @staticmethod
     def _pair(rank: np.ndarray, left: np.ndarray, by: int) -> np.ndarray:
-        second = np.zeros(len(rank), np.int64)
+        second = np.zeros(len(rank), np.int32)
         if by < len(rank):
             second[: len(rank) - by] = rank[by:] + 1
         second[left <= by] = 0
@@ -244,15 +272,20 @@ class RunLengthIndex:
 
 
 def _survivors(table: pa.Table, length: int) -> pa.RecordBatch:
-    """The windows of a block of phrases that are the earliest of their class, as (doc_id, th, pos)."""
+    """Runs of windows of a block of phrases that are the earliest of their class, as (doc_id, th, pos, n)."""
     doc, th = (np.asarray(table[c].fill_null(-(1 << 63)) if table[c].null_count else table[c]) for c in ("doc_id", "th"))
     pos, n = np.asarray(table["pos"]).astype(np.int64), np.asarray(table["n"]).astype(np.int64)
     which, window, cls = RunLengthIndex(table["phrase"].to_pylist(), length).classes(n)
     start = pos[which] + window
     order = np.lexsort((th[which], start, doc[which], cls))
-    first = order[np.concatenate([[True], cls[order][1:] != cls[order][:-1]])]
-    ids = table["doc_id"].combine_chunks().take(pa.array(which[first]))
-    return pa.record_batch([ids, pa.array(th[which[first]]), pa.array(start[first].astype(np.int32))], ["doc_id", "th", "pos"])
+    first = np.sort(order[np.concatenate([[True], cls[order][1:] != cls[order][:-1]])])
+    # Windows of one phrase in a row make a run; they came out by falling offset.
+    first = first[np.lexsort((window[first], which[first]))]
+    w, p = which[first], window[first]
+    new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (p[1:] != p[:-1] + 1)]))
+    count = np.diff(np.append(new, len(w)))
+    ids = table["doc_id"].combine_chunks().take(pa.array(w[new]))
+    return pa.record_batch([ids, pa.array(th[w[new]]), pa.array(start[first[new]].astype(np.int32)), pa.array(count.astype(np.int32))], ["doc_id", "th", "pos", "n"])
 
 
 def _index_blocks(length: int, block: int):
@@ -297,22 +330,24 @@ def _window_hashes(length: int):
 
 
 def repeated_windows(docs: DataFrame, folder: str, length: int, k: int = K, hot: int = HOT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, pos, n): windows that may repeat; and (doc_id, th, pos): those of them that are the earliest of their class."""
-    repeated = common.stored(minimizers(docs, length, k).groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"), folder, "minimizers")
-    bitmap = common.bitmap_of(repeated, "m")
-    found = common.stored(repeated_phrases(docs, bitmap, length, k).join(repeated, "m", "left_semi"), folder, "phrases")
-    # One row per distinct phrase, combined before the shuffle, with its first place.
-    place = F.min(F.struct("doc_id", "pos", "th")).alias("f")
-    distinct = found.groupBy("m", "s").agg(place, F.first("n").alias("n"), F.first("phrase").alias("phrase")).select(
-        "m", "s", F.col("f.doc_id").alias("doc_id"), F.col("f.th").alias("th"), F.col("f.pos").alias("pos"), "n", "phrase")
-    distinct = common.stored(distinct, folder, "distinct")
-    sizes = distinct.groupBy("m").agg(F.count("*").alias("contexts"))
-    hot_m = common.stored(sizes.filter(F.col("contexts") > hot).select("m"), folder, "hot")
+    """Windows that may repeat, (doc_id, th, pos array, n array); and the survivors among them, (doc_id, th, pos, n)."""
+    repeated = minimizers(docs, length, k).groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m")
+    found = common.stored(repeated_places(docs, common.bitmap_of(common.stored(repeated, folder, "minimizers"), "m"), length, k), folder, "found")
+    place = F.struct("doc_id", "pos", "th", "n")
+    rows = found.select("doc_id", "th", F.inline(F.arrays_zip("m", "s", "pos", "n")))
+    # One row of fixed size per minimizer, combined before the shuffle.
+    groups = common.stored(rows.groupBy("m").agg(F.min("s").alias("s1"), F.max("s").alias("s2"), F.min(place).alias("f")), folder, "groups")
+    alone = groups.filter("s1 = s2").select("f.doc_id", "f.th", "f.pos", "f.n")
+    bitmap = common.bitmap_of(groups.filter("s1 <> s2"), "m")
+    # What the bitmap passes beyond those groups is indexed too, with the same result.
+    distinct = phrase_texts(docs, bitmap, length, k).groupBy("m", "s").agg(F.min(place).alias("f"), F.first("phrase").alias("phrase"))
+    distinct = common.stored(distinct.select("m", "f.doc_id", "f.th", "f.pos", "f.n", "phrase"), folder, "distinct")
+    hot_m = common.stored(distinct.groupBy("m").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > hot).select("m"), folder, "hot")
     cold = distinct.join(hot_m, "m", "left_anti").select("m", "doc_id", "th", "pos", "n", "phrase")
-    earliest = cold.repartition("m").sortWithinPartitions("m").mapInArrow(_index_blocks(length, block), "doc_id long, th long, pos int")
+    indexed = cold.repartition("m").sortWithinPartitions("m").mapInArrow(_index_blocks(length, block), "doc_id long, th long, pos int, n int")
     windows = distinct.join(hot_m, "m", "left_semi").select("doc_id", "th", "pos", "n", "phrase").mapInArrow(_window_hashes(length), "h1 long, h2 long, doc_id long, th long, pos int")
-    of_hot = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "th")).alias("f")).select("f.doc_id", "f.th", "f.pos")
-    return found.select("doc_id", "th", "pos", "n"), common.stored(earliest.unionByName(of_hot), folder, "earliest")
+    of_hot = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "th")).alias("f")).select("f.doc_id", "f.th", "f.pos", F.lit(1).alias("n"))
+    return found.select("doc_id", "th", "pos", "n"), common.stored(alone.unionByName(indexed).unionByName(of_hot), folder, "survivors")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, k: int = K, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -326,9 +361,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = K, hot: int = HO
     result.
     """
     folder = common.shared_dir(docs.sparkSession)
-    windows, earliest = repeated_windows(docs, folder, length, k, hot, block)
-    may = windows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
-    keep = earliest.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("keep"))
+    windows, survivors = repeated_windows(docs, folder, length, k, hot, block)
+    # Rows that repeat a doc_id and a text found the same; one of them is enough.
+    may = windows.groupBy("doc_id", "th").agg(F.first(F.arrays_zip("pos", "n")).alias("runs"))
+    keep = survivors.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("keep"))
     a, b = may.alias("a"), keep.alias("b")
     marks = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left").select(
         F.col("a.doc_id").alias("m_id"), F.col("a.th").alias("m_th"), "runs", "keep")
@@ -347,34 +383,42 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = K, hot: int = HO
 
     def cut(batches):
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "sha", "t", "runs", "keep")]
-            ids, n_bytes, removed, counts, shas, spans = [], [], [], [], [], []
-            for doc_id, n, sha, text, runs, keep in zip(*cols):
-                found = _spans(runs, keep, length, n) if runs else []
-                if found:
-                    at, left = 0, []
-                    for s, e in found:
-                        left.append(text[at:s])
-                        at = e
-                    sha = hashlib.sha256(b"".join([*left, text[at:]])).hexdigest()
-                ids.append(doc_id), n_bytes.append(n), removed.append(sum(e - s for s, e in found)), counts.append(len(found)), shas.append(sha)
-                spans.append([{"start": s, "end": e} for s, e in found])
-            yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(shas, pa.string()),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            for part in common.slices(batch, "t", PARSED):
+                out = [[] for _ in range(4)]
+                n_bytes, shas = part.column("n_bytes").to_pylist(), part.column("sha").to_pylist()
+                runs, keep = _runs(part.column("runs")), _runs(part.column("keep"))
+                for i, text in enumerate(part.column("t")):
+                    found = _spans(runs[i], keep[i], length, n_bytes[i]) if len(runs[i]) else []
+                    if found:
+                        at, left, data = 0, [], text.as_py()
+                        for s, e in found:
+                            left.append(data[at:s])
+                            at = e
+                        shas[i] = hashlib.sha256(b"".join([*left, data[at:]])).hexdigest()
+                    for column, value in zip(out, (sum(e - s for s, e in found), len(found), shas[i], [{"start": s, "end": e} for s, e in found])):
+                        column.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), *(pa.array(x, k) for x, k in zip(out, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
     return joined.select("doc_id", "n_bytes", "sha", "t", "runs", "keep").mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
 
 
-def _spans(runs: list[dict], keep: list[int] | None, length: int, n: int) -> list[tuple[int, int]]:
+def _runs(column: pa.ListArray) -> list[np.ndarray]:
+    """Per row the (pos, n) of its runs, as rows of an array; none for null."""
+    offsets, values = np.asarray(column.offsets), column.values
+    flat = np.stack([np.asarray(values.field("pos")), np.asarray(values.field("n"))], axis=1) if len(values) else np.zeros((0, 2), np.int32)
+    return [flat[a:b] if ok else flat[:0] for a, b, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), column.is_valid().to_pylist())]
+
+
+def _spans(runs: np.ndarray, keep: np.ndarray, length: int, n: int) -> list[tuple[int, int]]:
     """Maximal covered byte runs of the windows in ``runs`` without those in ``keep``."""
     gone = np.zeros(n + 1, bool)
-    for r in runs:
-        gone[r["pos"] : r["pos"] + r["n"]] = True
-    gone[np.array(keep or [], np.int64)] = False
+    for pos, count in runs.tolist():
+        gone[pos : pos + count] = True
+    for pos, count in keep.tolist():
+        gone[pos : pos + count] = False
     starts = np.flatnonzero(gone)
     if not len(starts):
         return []
