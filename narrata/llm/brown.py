@@ -154,9 +154,9 @@ def exchange(matrix: np.ndarray, movable: np.ndarray, classes: int = CLASSES, ro
             gain = (_f(rows + out) - _f(rows)).sum(axis=1) + (_f(cols + into) - _f(cols)).sum(axis=1)
             here = grid[k, k]
             gain += _f(here + out[k] + into[k] + own) - _f(here) - (_f(here + out[k]) - _f(here)) - (_f(here + into[k]) - _f(here))
-            left, right = grid.sum(axis=1)[:classes], grid.sum(axis=0)[:classes]
+            # Whatever the target, each class regains its bigrams with the unit; the target also takes the unit's own.
+            left, right = grid.sum(axis=1)[:classes] + into[:classes], grid.sum(axis=0)[:classes] + out[:classes]
             gain -= _f(left + out.sum() + own) - _f(left) + _f(right + into.sum() + own) - _f(right)
-            # rows and columns that the unit joins also change the other classes' margins alike for every target
             new = int(gain.argmax())
             grid[new] += out
             grid[:, new] += into
