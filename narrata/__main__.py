@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from narrata.operators import graph
 from narrata.plans import lifecycle, providers
+from narrata.shipping import ship
 from narrata.sources import stories
 
 
@@ -68,6 +69,7 @@ def _scenes(spark, args):
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("narrata").getOrCreate()
+    ship(spark)
     if args.command == "subgraph":
         nodes, edges = stories.read_graphs(spark, args.graphs)
         stories.graph_pages(nodes, edges).write.mode("overwrite").partitionBy("story_id", "scene_no").text(args.output)
