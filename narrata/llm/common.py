@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narrata.shipping import ship
+
 #: Lower-cases A-Z only, on UTF-8 bytes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -21,45 +21,40 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
-
-_shipped: set[str] = set()
-
-
 #: Rows of an Arrow batch: texts are long, so far fewer than Spark's default.
 BATCH_ROWS = "1000"
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once per application; keeps Arrow batches small."""
-    context = spark.sparkContext
+def prepare(spark: SparkSession) -> None:
+    """Ships the package and keeps Arrow batches small, unless the session sets their size."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    if context.applicationId in _shipped:
-        return
-    _shipped.add(context.applicationId)
-    package = Path(__file__).resolve().parents[1]
-    if not package.is_dir():
-        return  # it runs from an archive that was shipped already
-    archive = Path(tempfile.mkdtemp(prefix="narrata-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for path in sorted(package.rglob("*.py")):
-            z.write(path, path.relative_to(package.parent))
-    context.addPyFile(str(archive))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+    """A new folder under spark.checkpoint.dir, which driver and executors share; it goes when the application ends.
 
     Only where that setting is absent (tests on one machine) a local folder is used.
     """
-    ship(spark)
+    prepare(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="narrata-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    files, path = _files(spark, folder)
+    files.mkdirs(path)
+    files.deleteOnExit(path)  # results are read until the application ends
+    return folder
+
+
+def _files(spark: SparkSession, name: str):
+    """The Hadoop file system of a path, and the path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -74,10 +69,9 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 def dropped(spark: SparkSession, folder: str, *names: str) -> None:
     """Deletes tables that later steps no longer read."""
-    jvm = spark.sparkContext._jvm
     for name in names:
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = _files(spark, f"{folder}/{name}")
+        files.delete(path, True)
 
 
 def text_bytes(col: str = "text") -> Column:
@@ -109,7 +103,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 if out is not None and out.num_rows:
                     yield out
 
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
