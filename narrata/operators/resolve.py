@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narrata.functions import text
+from narrata.operators import similarity
 
 
 def apply_renames(nodes: DataFrame, renames: DataFrame) -> DataFrame:
@@ -75,3 +77,95 @@ def apply_merges(nodes: DataFrame, members: DataFrame) -> DataFrame:
     moves = members.join(groups, ["story_id", "cluster"]).select("story_id", "id", "into", "canonical")
     out = nodes.join(moves, ["story_id", "id"], "left").filter(F.col("into").isNull() | (F.col("into") == F.col("id")))
     return out.withColumn("name", F.coalesce("canonical", "name")).drop("into", "canonical")
+
+
+#: Weights of name and description in similarities and joint vectors, and the floor below which nobody is asked.
+NAME, DESCRIPTION, FLOOR = 0.6, 0.4, 0.65
+
+
+def _tfidf_rows(texts: list[list[str]]) -> np.ndarray:
+    vocabulary = {t: i for i, t in enumerate(sorted({t for x in texts for t in x}))}
+    counts = np.zeros((len(texts), max(1, len(vocabulary))))
+    for row, x in zip(counts, texts):
+        for t in x:
+            row[vocabulary[t]] += 1
+    out = counts * (np.log((len(texts) + 1) / ((counts > 0).sum(axis=0) + 1)) + 1)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def name_clusters(names: list[list[str]], descriptions: list[list[str]], near: int = 5, floor: float = FLOOR) -> np.ndarray:
+    """Cluster numbers of nodes by joint TF-IDF vectors; -1 outside clusters of several whose best pair reaches ``floor``.
+
+    k comes from the eigengap of the symmetric nearest-neighbour graph, the
+    clusters from k-means; ties between neighbours go to the lower index.
+    """
+    n = len(names)
+    out = np.full(n, -1)
+    if n < 2:
+        return out
+    a, b = _tfidf_rows(names), _tfidf_rows(descriptions)
+    sim = NAME * (a @ a.T) + DESCRIPTION * (b @ b.T)
+    np.fill_diagonal(sim, -np.inf)
+    joint = np.concatenate([NAME * a, DESCRIPTION * b], axis=1)
+    joint /= np.maximum(np.linalg.norm(joint, axis=1, keepdims=True), 1e-12)
+    top = np.argsort(-sim, axis=1, kind="stable")[:, : min(near, n - 1)]
+    adjacency = np.zeros((n, n))
+    adjacency[np.repeat(np.arange(n), top.shape[1]), top.ravel()] = 1
+    k = min(n, similarity.eigengap(np.maximum(adjacency, adjacency.T)))
+    label = similarity.kmeans(joint, k) if k > 1 else np.zeros(n, int)
+    for c in range(k):
+        members = np.flatnonzero(label == c)
+        if len(members) > 1 and sim[np.ix_(members, members)].max() >= floor:
+            out[members] = c
+    return out
+
+
+def candidate_clusters(nodes: DataFrame) -> DataFrame:
+    """(story_id, type, cluster, id, pos, name): clusters of a story's nodes of a type that are worth asking about."""
+    rows = nodes.select("story_id", "type", "id", "pos", "name", text.ascii_tokens(text.fold(F.col("name"))).alias("n"), text.ascii_tokens(text.fold(F.col("description"))).alias("d"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        cluster = name_clusters(table["n"].to_pylist(), table["d"].to_pylist())
+        keep = pa.array(cluster >= 0)
+        return table.select(["story_id", "type"]).append_column("cluster", pa.array(cluster.astype(np.int32))).append_column("id", table["id"]).append_column("pos", table["pos"].cast(pa.int64())).append_column("name", table["name"]).filter(keep)
+
+    return rows.groupBy("story_id", "type").applyInArrow(run, "story_id string, type string, cluster int, id string, pos long, name string")
+
+
+def adjudicated(clusters: DataFrame, provider) -> DataFrame:
+    """members(story_id, cluster, id, pos, canonical_name): the groups that a provider merges within each cluster.
+
+    The provider answers with groups of member numbers (in the order shown) and
+    a canonical name; groups under two members and failed answers merge nothing.
+    """
+    from narrata.plans.providers import answer
+
+    shown = clusters.groupBy("story_id", "type", "cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "name"))).alias("m"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for story, kind, cluster, members in zip(*(batch.column(c).to_pylist() for c in ("story_id", "type", "cluster", "m"))):
+                reply = answer(provider, "merge", "\n".join(f"{i}\t{kind}\t{m['name']}" for i, m in enumerate(members)))
+                for g, group in enumerate((reply or {}).get("groups", []) if isinstance(reply, dict) else []):
+                    picked = [members[i] for i in dict.fromkeys(group.get("member_indices") or []) if isinstance(i, int) and 0 <= i < len(members)]
+                    if len(picked) > 1:
+                        rows += [{"story_id": story, "cluster": f"{kind}-{cluster}-{g}", "id": m["id"], "pos": m["pos"], "canonical_name": group.get("canonical_name") or picked[0]["name"]} for m in picked]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("story_id", pa.string()), ("cluster", pa.string()), ("id", pa.string()), ("pos", pa.int64()), ("canonical_name", pa.string())]))
+
+    return shown.mapInArrow(run, "story_id string, cluster string, id string, pos long, canonical_name string")
+
+
+def resolve_nodes(nodes: DataFrame, renames: DataFrame, provider) -> DataFrame:
+    """All steps over nodes(story_id, type, id, pos, name, description): renames, exact keys, name prefixes, adjudicated clusters."""
+    named = exact_key(apply_renames(nodes, renames))
+    exact = named.groupBy("story_id", "type", "key").agg(
+        F.min_by("id", "pos").alias("id"), F.min_by("name", "pos").alias("name"), F.min("pos").alias("pos"),
+        F.max_by("description", F.struct(F.length("description"), -F.col("pos"))).alias("description"), F.array_sort(F.collect_set("name")).alias("aliases"))
+    short = merge_prefixes(exact)
+    names = exact.select("story_id", "id", F.col("name").alias("gone"))
+    gained = short.join(names, ["story_id", "id"]).groupBy("story_id", F.col("into").alias("id")).agg(F.collect_set("gone").alias("more"))
+    out = exact.join(short.select("story_id", "id"), ["story_id", "id"], "left_anti").join(gained, ["story_id", "id"], "left")
+    out = out.withColumn("aliases", F.array_sort(F.array_union("aliases", F.coalesce("more", F.array().cast("array<string>"))))).drop("more")
+    return apply_merges(out, adjudicated(candidate_clusters(out), provider))

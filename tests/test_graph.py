@@ -53,3 +53,16 @@ def test_merge_prefixes(spark):
     assert [tuple(r) for r in resolve.merge_prefixes(n).collect()] == [("s", "1", "2")]
     r = spark.createDataFrame([("s", "Ada", "Bea")], "story_id string, src string, dst string")
     assert {x.id: x["name"] for x in resolve.apply_renames(n, r).collect()} == {"1": "Bea", "2": "Dr. Ada Byron", "3": "Bea", "4": "Ada"}
+
+
+def test_resolve_nodes(spark):
+    from narrata.plans.providers import StubProvider
+
+    rows = [("s", "Character", "1", 0, "Ada", "a"), ("s", "Character", "2", 1, "Ada Byron", "who writes"), ("s", "Character", "3", 2, "ada  byron", ""), ("s", "Object", "4", 3, "red lamp", "a lamp of brass"),
+            ("s", "Object", "5", 4, "old red lamp", "a lamp of brass"), ("s", "Object", "6", 5, "spoon", "silver"), ("s", "Character", "7", 6, "Bea", ""), ("t", "Object", "8", 0, "lamp", "")]
+    nodes = spark.createDataFrame(rows, "story_id string, type string, id string, pos int, name string, description string")
+    renames = spark.createDataFrame([("s", "Bea", "Cleo")], "story_id string, src string, dst string")
+    got = {r.id: (r["name"], r.aliases) for r in resolve.resolve_nodes(nodes, renames, StubProvider()).collect()}
+    assert got["2"] == ("Ada Byron", ["Ada", "Ada Byron", "ada  byron"]) and "1" not in got and "3" not in got
+    assert got["7"][0] == "Cleo" and got["6"][0] == "spoon" and got["8"][0] == "lamp"
+    assert got["4"][0] == "old red lamp" and "5" not in got
