@@ -7,13 +7,14 @@ cache's anti-join; everything else is set-based and keyed by story and scene.
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata import schema
-from narrata.functions import text
+from narrata.functions import jsonfix, text
 from narrata.operators import corpus, facts, graph, score, verify
 
 from .providers import Provider, answer
@@ -21,6 +22,27 @@ from .providers import Provider, answer
 BATCH = 12
 
 
+SENTENCE = re.compile(r"In\s+scene\s+\d+\s*,\s*.+?\s+was\s+established\s*,\s*yet\s+in\s+scene\s+\d+\s*,\s*.+?\s+happens\.?", re.I | re.S)
+
+
+def findings_in(raw: str | None) -> list[dict]:
+    """Template sentences in prose, white space squeezed: what a judge's answer is worth if it is not JSON."""
+    return [{"hallucination": " ".join(m.group().split())} for m in SENTENCE.finditer(raw or "")]
+
+
+class _Judge(Provider):
+    """A provider whose answers are always JSON lists of findings."""
+
+    def __init__(self, inner: Provider):
+        self.inner, self.model_id = inner, inner.model_id
+
+    def complete(self, prompt, system="", temperature=0.0, max_tokens=12288):
+        raw = self.inner.complete(prompt, system, temperature, max_tokens)
+        value = jsonfix.parse(raw)
+        value = [value] if isinstance(value, dict) else value
+        return json.dumps(value if isinstance(value, list) and value else findings_in(raw))
+
+
 def ask(rows: DataFrame, stage: str, provider: Provider, hint: str = "", cache: DataFrame | None = None) -> DataFrame:
     """Adds ``answer`` (JSON or null) to (story_id, scene_no, chunk_id, body): cached answers first, blank bodies never asked."""
     keyed = rows.filter(F.col("body").rlike(r"\S")).withColumn("cache_key", text.cache_key(F.lit(stage), F.lit(provider.model_id), F.col("body")))
@@ -134,7 +156,7 @@ def judge_prompt(scenes: DataFrame) -> DataFrame:
 def judge(scenes: DataFrame, provider: Provider) -> DataFrame:
     """(story_id, id, hallucination) of the whole-story judge: parsed findings in scene order, the first of equal texts."""
     rows = judge_prompt(scenes).select("story_id", F.lit(0).alias("scene_no"), F.lit("story").alias("chunk_id"), "body")
-    found = ask(rows, "judge", provider).select("story_id", F.posexplode(F.from_json("answer", "array<struct<hallucination: string>>")).alias("pos", "f")).select("story_id", "pos", "f.hallucination")
+    found = ask(rows, "judge", _Judge(provider)).select("story_id", F.posexplode(F.from_json("answer", "array<struct<hallucination: string>>")).alias("pos", "f")).select("story_id", "pos", "f.hallucination")
     p = found.withColumn("p", text.parse_finding(F.col("hallucination"))).filter("p.x < p.y")
     first = p.groupBy("story_id", "hallucination").agg(F.min("pos").alias("pos"))
     return first.withColumn("id", F.row_number().over(Window.partitionBy("story_id").orderBy("pos"))).select("story_id", "id", "hallucination")

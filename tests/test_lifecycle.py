@@ -63,3 +63,12 @@ def test_sources(spark, tmp_path):
     (tmp_path / "m.json").write_text('[{"story_id": "one", "movie_dir": "one"}]')
     assert stories.read_manifest(spark, str(tmp_path / "m.json")).first().movie_dir == f"{tmp_path}/one"
     assert stories.read_findings(spark, str(tmp_path / "none" / "*.json")).count() == 0
+
+
+def test_judge(spark):
+    scenes = spark.createDataFrame(SCENES, "story_id string, scene_no int, content string")
+    said = "In scene 1, Ada is  tall was established, yet in scene 3, Ada is short happens."
+    prose = providers.CallableProvider(lambda **k: f"I see: {said} And {said} In scene 3, a was established, yet in scene 2, b happens")
+    assert {(r.story_id, r.id, r.hallucination) for r in lifecycle.judge(scenes, prose).collect()} == {(s, 1, said.replace("  ", " ")) for s in ("m", "n")}
+    listed = providers.CallableProvider(lambda **k: '[{"hallucination": "In scene 1, x, yet in scene 2, y"}]')
+    assert lifecycle.judge(scenes, listed).count() == 2
