@@ -128,11 +128,42 @@ def propose(attributes: DataFrame) -> DataFrame:
     return kept.withColumn("text", text.render_finding(F.col("x"), F.col("fact"), F.col("y"), F.col("event"))).filter("text <> ''").withColumn("index", n)
 
 
+PROPOSAL = "array<struct<x: string, y: string, fact: string, event: string>>"
+
+
+def propose_by_provider(nodes: DataFrame, edges: DataFrame, attributes: DataFrame, provider: Provider, cache: DataFrame | None = None) -> DataFrame:
+    """Proposals that a provider finds: per later scene one request with what was before and the scene's facts.
+
+    Nodes, edges and attributes carry story_id, scene_no and pos.  A story's
+    first scene, and scenes without facts, are not asked about.  A clause that
+    is empty or scenes that are not in order drop a proposal; a scene y that is
+    no number is the scene asked about; the first of equal texts stays, then
+    near-duplicates go.  The summary grows with the story, so the requests of a
+    story grow with the square of its scenes, as they must.
+    """
+    lines = facts.prior_summary(nodes, edges, attributes)
+    found = facts.candidate_facts(nodes, edges, attributes).groupBy("story_id", "scene_no").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("f"))
+    scenes = lines.join(found, ["story_id", "scene_no"], "full")
+    before = Window.partitionBy("story_id").orderBy("scene_no").rowsBetween(Window.unboundedPreceding, -1)
+    asked = scenes.withColumn("prior", F.flatten(F.collect_list(F.coalesce("lines", F.array().cast("array<string>"))).over(before))).filter("size(prior) > 0 and f is not null")
+    body = F.concat_ws("\n", F.array_join("prior", "\n"), F.concat(F.lit("\nSCENE "), F.col("scene_no").cast("string")), F.array_join(F.transform("f", lambda x: x["text"]), "\n"))
+    replies = ask(asked.select("story_id", "scene_no", F.lit("scene").alias("chunk_id"), body.alias("body")), "propose", provider, "", cache)
+    rows = replies.select("story_id", "scene_no", F.posexplode(F.from_json("answer", PROPOSAL)).alias("n", "p"))
+    x, y = F.col("p.x").try_cast("int"), F.coalesce(F.col("p.y").try_cast("int"), F.col("scene_no"))
+    rows = rows.select("story_id", "scene_no", "n", x.alias("x"), y.alias("y"), text.proposal_fact(F.col("p.fact")).alias("fact"), text.proposal_event(F.col("p.event")).alias("event"))
+    rows = rows.withColumn("text", text.render_finding(F.col("x"), F.col("fact"), F.col("y"), F.col("event"))).filter("text <> ''")
+    once = rows.groupBy("story_id", "text").agg(F.min(F.struct("scene_no", "n", "x", "y", "fact", "event")).alias("p"))
+    order = Window.partitionBy("story_id").orderBy("p.scene_no", "p.n")
+    kept = verify.near_duplicates(once.select("story_id", F.row_number().over(order).alias("pos"), "p.x", "p.y", "p.fact", "p.event", "text")).filter("kept").drop("kept")
+    return kept.withColumn("index", F.row_number().over(Window.partitionBy("story_id").orderBy("pos")))
+
+
 def verify_proposals(proposals: DataFrame, scenes: DataFrame, provider: Provider) -> DataFrame:
     """Proposals with decisions and grounded quotes; a batch of 12 is one request, and a failed one keeps its proposals."""
     content = scenes.select("story_id", "scene_no", "content")
     both = proposals.join(content.toDF("story_id", "x", "x_text"), ["story_id", "x"], "left").join(content.toDF("story_id", "y", "y_text"), ["story_id", "y"], "left")
-    line = F.concat_ws("\t", F.col("index").cast("string"), F.concat_ws(" ", "entity", F.lit("has"), "attr", "previous"), F.concat_ws(" ", "entity", F.lit("has"), "attr", "value"))
+    ends = ("fact", "event") if "entity" not in proposals.columns else (F.concat_ws(" ", "entity", F.lit("has"), "attr", "previous"), F.concat_ws(" ", "entity", F.lit("has"), "attr", "value"))
+    line = F.concat_ws("\t", F.col("index").cast("string"), *ends)
     batches = both.groupBy("story_id", (F.floor((F.col("index") - 1) / BATCH) + 1).cast("int").alias("scene_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
     replies = ask(batches.withColumn("chunk_id", F.lit("batch")), "verify", provider).select("story_id", F.from_json("answer", "struct<results: array<struct<index: int, decision: string, attribute: string, prior_quote: string, later_quote: string>>>").alias("r"))
     entries = replies.select("story_id", F.posexplode("r.results").alias("pos", "e")).select("story_id", "pos", "e.*")
@@ -141,9 +172,14 @@ def verify_proposals(proposals: DataFrame, scenes: DataFrame, provider: Provider
     return decided.join(quotes, ["story_id", "index"], "left").withColumn("prior_grounded", verify.grounded(F.col("prior_quote"), F.col("x_text"))).withColumn("later_grounded", verify.grounded(F.col("later_quote"), F.col("y_text"))).drop("x_text", "y_text")
 
 
-def detect(scenes: DataFrame, provider: Provider) -> DataFrame:
-    """(story_id, id, hallucination) of all stories: proposals that were confirmed or kept, numbered."""
-    found = verify_proposals(propose(attribute_profiles(scenes, provider)), scenes, provider).filter("final_decision <> 'rejected'")
+def detect(scenes: DataFrame, provider: Provider, proposals: DataFrame | None = None) -> DataFrame:
+    """(story_id, id, hallucination) of all stories: proposals that were confirmed or kept, numbered.
+
+    Without given proposals (a provider's, or stored ones to verify again) every
+    changed value is one.
+    """
+    asked = propose(attribute_profiles(scenes, provider)) if proposals is None else proposals
+    found = verify_proposals(asked, scenes, provider).filter("final_decision <> 'rejected'")
     return found.withColumn("id", F.row_number().over(Window.partitionBy("story_id").orderBy("index"))).select("story_id", "id", F.col("text").alias("hallucination"))
 
 

@@ -72,3 +72,14 @@ def test_judge(spark):
     assert {(r.story_id, r.id, r.hallucination) for r in lifecycle.judge(scenes, prose).collect()} == {(s, 1, said.replace("  ", " ")) for s in ("m", "n")}
     listed = providers.CallableProvider(lambda **k: '[{"hallucination": "In scene 1, x, yet in scene 2, y"}]')
     assert lifecycle.judge(scenes, listed).count() == 2
+
+
+def test_proposals_of_a_provider(spark):
+    stub = providers.StubProvider()
+    scenes = spark.createDataFrame(SCENES, "story_id string, scene_no int, content string")
+    attributes = lifecycle.attribute_profiles(scenes, stub)
+    nodes, edges = lifecycle.assemble(*lifecycle.extract(scenes, stub))
+    from pyspark.sql import functions as F
+    proposals = lifecycle.propose_by_provider(nodes, edges.withColumn("pos", F.lit(0)), attributes, stub)
+    assert [(r.story_id, r["index"], r.x, r.y) for r in proposals.collect()] == [("m", 1, 2, 3)]
+    assert lifecycle.detect(scenes, stub, proposals).count() == 1
