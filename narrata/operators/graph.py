@@ -7,13 +7,12 @@ set-based: a story or scene is a key column, never a driver loop.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata import schema
 from narrata.functions import text
+from narrata.shipping import shared_base
 
 
 def typed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -139,8 +138,7 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
 
 def _checkpoint_dir(spark) -> None:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/narrata-{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:

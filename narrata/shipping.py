@@ -1,4 +1,4 @@
-"""Sends this package to the executors' Python workers."""
+"""What driver and executors share: this package, and a folder."""
 
 from __future__ import annotations
 
@@ -25,3 +25,14 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(package.rglob("*.py")):
             z.write(path, path.relative_to(package.parent))
     context.addPyFile(str(archive))
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only on one machine, where that is unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="narrata-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narrata.shipping import shared_base
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The events table as a stream of its files."""
@@ -50,7 +51,7 @@ def value_changes(attributes: DataFrame) -> DataFrame:
 def run_available(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there now and returns its last (complete) or all (append) rows, as a table in the shared folder."""
     spark = stream.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/{uuid.uuid4().hex}"
+    base = f"{shared_base(spark)}/{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         target = f"{base}/out" if mode == "complete" else f"{base}/out/batch={number}"
