@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.shipping import ship
+from narrata.shipping import shared_base, ship
 
 #: Lower-cases A-Z only, on UTF-8 bytes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -22,7 +21,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 #: Rows of an Arrow batch: texts are long, so far fewer than Spark's default.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "2500"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -38,13 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where that setting is absent (tests on one machine) a local folder is used.
     """
     prepare(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="narrata-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = f"{shared_base(spark)}/{uuid.uuid4().hex}"
     files, path = _files(spark, folder)
     files.mkdirs(path)
     files.deleteOnExit(path)  # results are read until the application ends
