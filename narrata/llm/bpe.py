@@ -15,19 +15,30 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
+import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Cuts are safe in texts without this: white space other than space and line feed, two in a row, or the separator.
-UNSAFE = re.compile(r"[^\S \n]|[ \n][ \n]|\0")
-#: Distinct cuts that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
+
+#: Cuts are safe in texts without these (RE2): white space in a row, other white space, or the separator.
+UNSAFE = r"[ \n][ \n]|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Distinct cuts, and pieces, that a worker remembers before it starts anew.
+REMEMBERED = 850_000
+#: Bytes of text that are encoded at once: the more, the fewer distinct cuts there are to look up.
+TEXTS = 8 << 20
+#: Cuts of printable ASCII without an apostrophe (which contractions join to letters), after a space or not.
+PLAIN = r"^ ?[!-&(-~]+$"
+#: Cuts of characters below U+0250, which all Unicode versions in use class alike, so the regex module may split them.
+LATIN = r"^ ?[!-~\x{a1}-\x{24f}]+$"
 
 
 def byte_chars() -> list[str]:
@@ -43,6 +54,13 @@ def byte_chars() -> list[str]:
     return table
 
 
+def public_pattern() -> str:
+    """The pre-tokenizer's pattern of byte-level vocabularies that do not name their own."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes -> rank, from a file of base64 tokens and ranks."""
     with open(path, "rb") as f:
@@ -94,43 +112,109 @@ class Encoder:
         self.byte_len, self.byte_at = lens, np.cumsum(lens) - lens
         self.byte_flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.decimal = list(map(str, range(len(self.tokens))))
+        self.split = regex.compile(pattern or public_pattern()).findall
+        self.bulk = Tokenizer(self.model)  # no pre-tokenizer: what it gets is one piece or pieces that cannot merge
+        in_merges = {c for t in self.tokens if len(t) > 1 for c in t}
+        # A byte of no token but its own cannot merge with its neighbours, so it holds pieces apart.
+        self.apart = next((b for b in range(255, -1, -1) if b not in in_merges and bytes([b]) in self.tokens), None)
+        self.apart_id = None if self.apart is None else self.tokens.index(bytes([self.apart]))
+        # If ASCII tokens never reach over two pieces (contractions aside), no merge does, and ASCII cuts need no splitting.
+        ascii_tokens = [t.decode() for t in self.tokens if t and t.isascii() and b"'" not in t]
+        self.whole_ascii = all(len(self.split(t)) == 1 for t in ascii_tokens)
+        self.chars = {b: c for b, c in enumerate(chars)}
+        self.wide: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self):
-        self.pieces: dict[str, list[int]] = {}
-        self.units = _Units()
-        self.flat, self.at, self.len = (np.zeros(0, np.int64) for _ in range(3))
+        self.units, self.unit_ids = _Numbers(), _Lists()
+        self.pieces, self.piece_ids = _Numbers(), _Lists()
 
     def _whole(self, text: str) -> list[int]:
         """The ids of a text: the library's pre-tokenizer, then its model for each piece not seen yet."""
         out: list[int] = []
+        if len(self.wide) > REMEMBERED:
+            self.wide.clear()
         for piece, _ in self.pre.pre_tokenize_str(text):
-            ids = self.pieces.get(piece)
+            ids = self.wide.get(piece)
             if ids is None:
-                ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece)]
+                ids = self.wide[piece] = [t.id for t in self.model.tokenize(piece)]
             out += ids
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the number of ids of each text."""
+    def _latin(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of Latin cuts and the number of ids of each: split at once by the pattern, new pieces encoded in bulk.
+
+        A line feed between cuts is a piece of its own, whatever stands beside it.
+        """
+        pieces = self.split("\n".join(units))
+        codes = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+        self.piece_ids.extend(*self._bulk(self.pieces.take()))
+        held = codes != self.pieces["\n"]
+        self.piece_ids.extend(*self._pairs(self.pieces.take()))
+        own = np.cumsum(~held)[held]
+        lens = self.piece_ids.len[codes[held]]
+        return self.piece_ids.gather(codes[held]), np.bincount(own, weights=lens, minlength=len(units)).astype(np.int64)
+
+    def _bulk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that each are a piece (or ASCII pieces that cannot merge), many to a call and held apart."""
+        sep, flat, lens = bytes([self.apart]), [], []
+        for at in range(0, len(texts), 32 * 1024):
+            part = texts[at : at + 32 * 1024]
+            rows = [sep.join([p.encode() for p in part[i : i + 32]]).decode("latin-1").translate(self.chars) for i in range(0, len(part), 32)]
+            ids = np.fromiter(chain.from_iterable((*e.ids, self.apart_id) for e in self.bulk.encode_batch_fast(rows, add_special_tokens=False)), np.int64)
+            cuts = np.flatnonzero(ids == self.apart_id)
+            flat.append(np.delete(ids, cuts))
+            lens.append(np.diff(cuts, prepend=-1) - 1)
+        return (np.concatenate(flat), np.concatenate(lens)) if flat else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _pairs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = list(map(self._whole, texts))
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.int64, int(lens.sum())), lens
+
+    def _kinds(self, units: list[str]) -> np.ndarray:
+        """How each cut is encoded: 0 by the library's pre-tokenizer, 1 split by the pattern here, 2 as it is."""
+        if self.apart is None:
+            return np.zeros(len(units), np.int8)
+        text = pa.array(units, pa.string())
+        plain, latin = (np.asarray(pc.match_substring_regex(text, p)) for p in (PLAIN, LATIN))
+        return np.where(plain & self.whole_ascii, 2, np.where(latin, 1, 0)).astype(np.int8)
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Adds the ids of new cuts, in their order."""
+        kind = self._kinds(fresh)
+        ways = {0: self._pairs, 1: self._latin, 2: self._bulk}
+        parts = {k: way([fresh[i] for i in np.flatnonzero(kind == k)]) for k, way in ways.items() if (kind == k).any()}
+        lens = np.zeros(len(fresh), np.int64)
+        for k, (_, own) in parts.items():
+            lens[kind == k] = own
+        flat, owner = np.zeros(int(lens.sum()), np.int64), np.repeat(kind, lens)
+        for k, (ids, _) in parts.items():
+            flat[owner == k] = ids
+        self.unit_ids.extend(flat, lens)
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of ids of each text (no nulls)."""
         if len(self.units) > REMEMBERED or len(self.pieces) > REMEMBERED:
             self._forget()
-        units, counts = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            parts = [t] if UNSAFE.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            units += parts
-            counts[i] = len(parts)
-        codes = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
-        if self.units.fresh:
-            new = list(map(self._whole, self.units.fresh))
-            self.units.fresh = []
-            lens = np.fromiter(map(len, new), np.int64, len(new))
-            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(lens) - lens])
-            self.len = np.concatenate([self.len, lens])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in new for i in x), np.int64, int(lens.sum()))])
-        ends = np.cumsum(self.len[codes])
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        safe = ~np.asarray(pc.match_substring_regex(texts, UNSAFE))
+        plain = texts if safe.all() else texts.filter(pa.array(safe))
+        marked = pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0")
+        cuts = pc.split_pattern(marked, "\0")
+        distinct = cuts.flatten().dictionary_encode()
+        numbers = np.fromiter(map(self.units.__getitem__, distinct.dictionary.to_pylist()), np.int64, len(distinct.dictionary))
+        counts = np.ones(len(texts), np.int64)
+        counts[safe] = np.diff(np.asarray(cuts.offsets))
+        codes, cut = np.zeros(int(counts.sum()), np.int64), np.repeat(safe, counts)
+        codes[cut] = numbers[np.asarray(distinct.indices)]
+        codes[~cut] = [self.units[_Whole(t)] for t in texts.filter(pa.array(~safe)).to_pylist()]
+        fresh = self.units.take()
+        if fresh:
+            self._learn(fresh)
+        ends = np.cumsum(self.unit_ids.len[codes])
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return self.flat[spread(self.at[codes], self.len[codes])], np.diff(upto)
+        return self.unit_ids.gather(codes), np.diff(upto)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for."""
@@ -146,23 +230,53 @@ class Encoder:
         return char[ends - self.byte_len[ids]], char[ends - 1] + 1
 
 
-class _Units(dict):
-    """Text -> number, given in the order of first sight."""
+class _Whole(str):
+    """A text that is not cut."""
+
+
+class _Numbers(dict):
+    """Text -> number, given in the order of first sight; ``take`` hands out those not taken yet."""
 
     def __init__(self):
-        self.fresh: list[str] = []
+        self.fresh: list = []
 
-    def __missing__(self, unit: str) -> int:
+    def __missing__(self, unit) -> int:
         self[unit] = code = len(self)
         self.fresh.append(unit)
         return code
 
+    def take(self) -> list:
+        out, self.fresh = self.fresh, []
+        return out
+
+
+class _Lists:
+    """Lists of ids by number, end to end in one array that grows by doubling."""
+
+    def __init__(self):
+        self.flat, self.used = np.zeros(1 << 12, np.int32), 0
+        self.at, self.len = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def extend(self, flat: np.ndarray, lens: np.ndarray) -> None:
+        if not len(lens):
+            return
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.at = np.concatenate([self.at, self.used + np.cumsum(lens) - lens])
+        self.len = np.concatenate([self.len, lens])
+        self.used += len(flat)
+
+    def gather(self, codes: np.ndarray) -> np.ndarray:
+        return self.flat[spread(self.at[codes], self.len[codes])]
+
 
 def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Positions start, start + 1, ... of each run in a row."""
+    """Positions start, start + 1, ... of each run in a row (all below 2**31: a slice is some megabytes)."""
     ends = np.cumsum(lens)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - lens), lens) + np.arange(total)
+    out = np.repeat((starts - (ends - lens)).astype(np.int32), lens)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -184,14 +298,14 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(path, pattern)
-        ids, lens = enc.encode(batch.column("t").to_pylist())
+        ids, lens = enc.encode(batch.column("t"))
         ends = np.cumsum(lens)
         spans = [enc.offsets(ids[e - n : e]) for e, n in zip(ends, lens)]
         offs = pa.array(np.concatenate([[0], ends]).astype(np.int32))
         lists = [ids, *(np.concatenate([s[k] for s in spans]) for k in (0, 1))]
         return pa.record_batch([batch.column("doc_id"), *(pa.ListArray.from_arrays(offs, pa.array(x.astype(np.int32))) for x in lists)], ["doc_id", "ids", "starts", "ends"])
 
-    return common.map_slices(_rows(docs), run, "doc_id long, ids array<int>, starts array<int>, ends array<int>", "t")
+    return common.map_slices(_rows(docs), run, "doc_id long, ids array<int>, starts array<int>, ends array<int>", "t", TEXTS)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
@@ -214,14 +328,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str | None = None) -> DataFr
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(path, pattern)
-        ids, lens = enc.encode(batch.column("t").to_pylist())
+        ids, lens = enc.encode(batch.column("t"))
         ends, decimal, rows = np.cumsum(lens), enc.decimal, []
         for e, n in zip(ends.tolist(), lens.tolist()):
             own = ids[e - n : e]
             rows.append((hashlib.sha256(" ".join([decimal[i] for i in own.tolist()]).encode()).hexdigest(), hashlib.sha256(enc.decode(own)).hexdigest()))
         return pa.record_batch([batch.column("doc_id"), pa.array(lens), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return common.map_slices(_rows(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "t")
+    return common.map_slices(_rows(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "t", TEXTS)
 
 
 def _rows(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import _Units, spread
+from .bpe import _Numbers, spread
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b"\t\n\x0b\x0c\r "
@@ -33,7 +33,7 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 def repeat_words(words: list[list[bytes]], window: int = WINDOW) -> np.ndarray:
     """Per document, the words that lie in a window of words found twice or more in it."""
     counts = np.fromiter(map(len, words), np.int64, len(words))
-    units = _Units()
+    units = _Numbers()
     codes = np.fromiter((units[w] for d in words for w in d), np.uint64, int(counts.sum()))
     has = np.maximum(counts - window + 1, 0)
     starts = np.cumsum(counts) - counts

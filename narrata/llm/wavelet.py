@@ -49,9 +49,9 @@ class WaveletMatrix:
         v = ids.astype(np.uint16) if width <= 16 else ids
         planes = []
         for b in reversed(range(width)):
-            bit = (v >> b) & 1 == 1
+            bit = (v & v.dtype.type(1 << b)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            v = np.concatenate([v[~bit], v[bit]])
+            v = np.concatenate([np.compress(~bit, v), np.compress(bit, v)])
         return cls(planes, len(ids))
 
     def _rank1(self, level: int, pos: int) -> int:
@@ -97,12 +97,12 @@ class WaveletMatrix:
 
     def to_ids(self) -> np.ndarray:
         """All ids: the partitions undone from the lowest plane up."""
-        v = np.zeros(self.n, np.uint32)
+        v = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for level in reversed(range(self.width)):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(v)
-            up[~bit] = v[: self.zeros[level]]
-            up[bit] = v[self.zeros[level] :] | np.uint32(1 << (self.width - 1 - level))
+            up[np.flatnonzero(~bit)] = v[: self.zeros[level]]
+            up[np.flatnonzero(bit)] = v[self.zeros[level] :] | v.dtype.type(1 << (self.width - 1 - level))
             v = up
         return v
 
@@ -146,14 +146,17 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_id
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["part", "seq", "first_id", "n_ids", "doc_ids", "lens", "data"])
 
         for batch in batches:
-            for piece in common.slices(batch, "t"):
-                ids, own = bpe.encoder(vocabulary).encode(piece.column("t").to_pylist())
-                ends = np.cumsum(own)
-                for doc_id, e, n in zip(piece.column("doc_id").to_pylist(), ends.tolist(), own.tolist()):
-                    held.append(np.append(ids[e - n : e], end_id).astype(np.uint32))
-                    doc_ids.append(doc_id)
-                    lens.append(n + 1)
-                    size += n + 1
+            for piece in common.slices(batch, "t", bpe.TEXTS):
+                ids, own = bpe.encoder(vocabulary).encode(piece.column("t"))
+                ids, own, names = np.insert(ids, np.cumsum(own), end_id).astype(np.uint32), own + 1, piece.column("doc_id").to_pylist()
+                ends, at, used = np.cumsum(own), 0, 0
+                while at < len(own):
+                    to = min(len(own), int(np.searchsorted(ends, used + shard_ids - size)) + 1)  # the document that fills the shard
+                    held.append(ids[used : ends[to - 1]])
+                    doc_ids += names[at:to]
+                    lens += own[at:to].tolist()
+                    size += int(ends[to - 1]) - used
+                    at, used = to, int(ends[to - 1])
                     if size >= shard_ids:
                         yield shard()
                         seq, doc_ids, lens, held, size = seq + 1, [], [], [], 0
@@ -183,8 +186,10 @@ def read(shards: DataFrame) -> DataFrame:
                     [pa.array([row["part"]] * k, pa.int32()), pa.array([row["seq"]] * k, pa.int32()), pa.array(row["doc_ids"], pa.int64()), *(pa.array([o[i] for o in out], pa.int64()) for i in range(3))],
                     ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    # One row per shard_ids ids: small enough for a running sum in one task.
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    before = shards.select("part", "seq", (F.sum("n_ids").over(order) - F.col("n_ids")).alias("before"))
+    # Sums of the partitions first (a row each), then of the shards within a partition.
+    totals = shards.groupBy("part").agg(F.sum("n_ids").alias("in_part"))
+    parts = totals.select("part", (F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_part")).alias("base"))
+    order = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    before = shards.select("part", "seq", "n_ids").join(parts, "part").select("part", "seq", (F.col("base") + F.sum("n_ids").over(order) - F.col("n_ids")).alias("before"))
     rows = shards.select("part", "seq", "doc_ids", "lens", "data").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(before, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
