@@ -31,8 +31,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parall
 
 #: Cuts are safe in texts without these (RE2): white space in a row, other white space, or the separator.
 UNSAFE = r"[ \n][ \n]|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Distinct cuts, and pieces, that a worker remembers before it starts anew.
-REMEMBERED = 850_000
+#: Distinct cuts, and pieces, that a worker remembers before it starts anew (some 450 bytes each).
+REMEMBERED = 250_000
 #: Bytes of text that are encoded at once: the more, the fewer distinct cuts there are to look up.
 TEXTS = 8 << 20
 #: Cuts of printable ASCII without an apostrophe (which contractions join to letters), after a space or not.
@@ -87,7 +87,7 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 class Encoder:
     """Encodes batches of texts to ids and back.  ``path``: a tokenizer's .json, or a rank file with its ``pattern``."""
 
-    def __init__(self, path: str, pattern: str | None = None):
+    def __init__(self, path: str, pattern: str | None = None, remembered: int = REMEMBERED):
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         chars = byte_chars()
@@ -123,6 +123,7 @@ class Encoder:
         self.whole_ascii = all(len(self.split(t)) == 1 for t in ascii_tokens)
         self.chars = {b: c for b, c in enumerate(chars)}
         self.wide: dict[str, list[int]] = {}
+        self.remembered = remembered
         self._forget()
 
     def _forget(self):
@@ -132,7 +133,7 @@ class Encoder:
     def _whole(self, text: str) -> list[int]:
         """The ids of a text: the library's pre-tokenizer, then its model for each piece not seen yet."""
         out: list[int] = []
-        if len(self.wide) > REMEMBERED:
+        if len(self.wide) > self.remembered:
             self.wide.clear()
         for piece, _ in self.pre.pre_tokenize_str(text):
             ids = self.wide.get(piece)
@@ -195,7 +196,7 @@ class Encoder:
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text (no nulls)."""
-        if len(self.units) > REMEMBERED or len(self.pieces) > REMEMBERED:
+        if len(self.units) > self.remembered or len(self.pieces) > self.remembered:
             self._forget()
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         safe = ~np.asarray(pc.match_substring_regex(texts, UNSAFE))
@@ -282,11 +283,12 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, pattern: str | None = None) -> Encoder:
+def encoder(path: str, pattern: str | None = None, remembered: int = REMEMBERED) -> Encoder:
     """The worker's encoder for a vocabulary file, made once."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern]
+    key = path, pattern, remembered
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def encode(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:

@@ -26,6 +26,8 @@ from . import bpe, common
 MAGIC = b"NWM1"
 #: Bits in a block of the rank directory.
 BLOCK = 512
+#: Distinct cuts that a worker remembers: more than where other stages share the worker's memory.
+REMEMBERED = 850_000
 #: Ids after which a shard is closed at the next document's end.
 SHARD_IDS = 1 << 20
 
@@ -147,7 +149,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_id
 
         for batch in batches:
             for piece in common.slices(batch, "t", bpe.TEXTS):
-                ids, own = bpe.encoder(vocabulary).encode(piece.column("t"))
+                ids, own = bpe.encoder(vocabulary, None, REMEMBERED).encode(piece.column("t"))
                 ids, own, names = np.insert(ids, np.cumsum(own), end_id).astype(np.uint32), own + 1, piece.column("doc_id").to_pylist()
                 ends, at, used = np.cumsum(own), 0, 0
                 while at < len(own):
