@@ -4,16 +4,27 @@ import corpus_pipeline
 import pytest
 from conftest import SCHEMA
 
-from narrata.llm import common
+from narrata.llm import common, simhash
 
 DATA = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i}" for i in range(200))
 
 
+def near_copy(text):
+    """The text with one other word, such that the fingerprints link."""
+    words = text.split()
+    own = simhash.fingerprint([w.encode() for w in words])
+    for i in range(len(words)):
+        other = [*words[:i], "changed", *words[i + 1 :]]
+        if (simhash.fingerprint([w.encode() for w in other]) ^ own).bit_count() <= simhash.DISTANCE:
+            return " ".join(other)
+    raise AssertionError("no near copy found")
+
+
 def test_stages(spark, tmp_path):
     toxic = "you worthless idiot " * 2
     rows = [(i, f"{LONG} tail{i} {' '.join(f'x{i}y{j}' for j in range(80))}" + (toxic if i % 4 == 0 else ""), "en", f"s{i % 3}", 0, "x", "y") for i in range(80)]
-    rows += [(100, rows[1][1], "en", "s1", 0, "x", "y"), (101, rows[1][1].replace("word7 ", "wordy "), "en", "s1", 0, "x", "y"), (102, None, None, None, None, None, None), (103, "", "en", "s2", 0, "x", "y")]
+    rows += [(100, rows[1][1], "en", "s1", 0, "x", "y"), (101, near_copy(rows[1][1]), "en", "s1", 0, "x", "y"), (102, None, None, None, None, None, None), (103, "", "en", "s2", 0, "x", "y")]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(80)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
