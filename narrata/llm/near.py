@@ -1,0 +1,179 @@
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Two such documents differ in 10 of 64 SimHash bits on average, and a radius
+that misses few of them (about 18) also passes three in 10,000 unrelated pairs,
+so fingerprints cannot give the candidates.  They come from MinHash bands:
+``BANDS`` keys of ``ROWS`` minima each, of which a pair at 0.8 shares none with
+a probability of (1 - 0.8**4)**24, three in a million.  The shingle sets of
+the candidates decide every link.
+
+Each candidate is first compared with the first row of each of its keys.  Keys
+whose rows are then still in several components are compared whole, block
+against block, so nothing is capped and a large group of near copies does not
+return the square of its size.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+from .common import LOWER
+
+#: Words of a shingle.
+WIDTH = 5
+#: Least similarity of linked documents, as a ratio.
+LEAST = (4, 5)
+#: Keys of a document, and minima in a key.
+BANDS, ROWS = 24, 4
+#: Rows and bytes of shingle sets in a block.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+
+_RANDOM = np.random.Generator(np.random.PCG64(42))
+_XOR = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None]
+_TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] | np.uint64(1)
+
+
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; a text of at most ``width`` words is one shingle."""
+    words = text.translate(LOWER).split()
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lens + 1) - 1
+    starts = ends - lens
+    hashes = (xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist()))
+    return np.unique(np.fromiter(hashes, np.uint64, len(words) - width + 1))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """The keys of a shingle set."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, ((hashes[None, at : at + 2048] ^ _XOR) * _TIMES).min(axis=1), out=least)
+    data, step = least.tobytes(), 8 * ROWS
+    return [xxhash.xxh64_intdigest(data[b * step : (b + 1) * step], b) for b in range(BANDS)]
+
+
+def _similar(shared, a, b):
+    """Whether sets of ``a`` and ``b`` elements that share ``shared`` are similar enough."""
+    return LEAST[1] * shared >= LEAST[0] * (a + b - shared)
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = np.array([bands(shingles(t)) for t in batch.column("t").to_pylist()], np.uint64).reshape(-1).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys))
+        return pa.record_batch([batch.column("row"), lists], ["row", "keys"])
+
+    texts = rows.select("row", common.text_bytes().alias("t"))
+    return common.map_slices(texts, run, "row long, keys array<long>", "t").select("row", F.explode("keys").alias("key"))
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t).tobytes() for t in batch.column("t").to_pylist()]
+        return pa.record_batch([batch.column("row"), batch.column("doc_id"), pa.array(sets, pa.binary())], ["row", "doc_id", "s"])
+
+    texts = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("t"))
+    return common.map_slices(texts, run, "row long, doc_id long, s binary", "t")
+
+
+def _linked(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, sa, sb) whose sets are similar enough."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok = []
+        for x, y in zip(batch.column("sa"), batch.column("sb")):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            ok.append(_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+        return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return common.map_slices(pairs, run, "a long, b long", "sa")
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between rows of different components in one block or two; the input is one (key, i, j) group."""
+    block, row, component = (table[c].to_numpy() for c in ("block", "row", "component"))
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table["s"]]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    left, right = (np.flatnonzero(block == table[c][0].as_py()) for c in ("i", "j"))
+    flat = np.concatenate([ids[starts[r] : starts[r] + sizes[r]] for r in right])
+    at = np.cumsum(sizes[right]) - sizes[right]
+    marked, out = np.zeros(len(names), np.int32), []
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = up = root.get(up, up)
+            v = up
+        return v
+
+    for x in left:
+        apart = component[right] != component[x]
+        if not apart.any():
+            continue
+        own = ids[starts[x] : starts[x] + sizes[x]]
+        marked[own] = 1
+        shared = np.add.reduceat(marked[flat], at)
+        marked[own] = 0
+        for y in right[apart & _similar(shared.astype(np.int64), sizes[x], sizes[right])]:
+            if (a := find(int(component[x]))) != (b := find(int(component[y]))):
+                root[a] = b
+                out.append((int(row[x]), int(row[y])))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+
+
+def without_near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each group of rows that links connect: that of the smallest doc_id.
+
+    A null doc_id counts as greater than any other; among rows of one doc_id an
+    arbitrary one stays.  Verdicts hold for rows, so rows that share a doc_id
+    do not share a verdict.  Null text counts as empty, and empty texts are
+    near copies of each other.
+    """
+    folder = common.shared_dir(docs.sparkSession)
+    whole = common.stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), folder, "rows")
+    rows = whole.select("row", "doc.doc_id", "doc.text")
+    keyed = common.stored(_keys(rows), folder, "keys")
+    of_key = common.stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("first")).filter("n > 1"), folder, "of_key")
+    shared = common.stored(keyed.join(of_key.select("key", "first"), "key"), folder, "shared")
+    sets = common.stored(_sets(rows.join(shared.select("row").distinct(), "row")), folder, "sets")
+    sides = [sets.select(F.col("row").alias(c), F.col("s").alias(f"s{c}")) for c in "ab"]
+    pairs = shared.filter("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b")).distinct()
+    star = common.stored(_linked(pairs.join(sides[0], "a").join(sides[1], "b")), folder, "star")
+    labels = common.connected_components(star, folder, "near")
+    placed = shared.join(labels, shared.row == labels.v, "left").select("key", "row", F.coalesce("root", "row").alias("component"))
+    placed = common.stored(placed, folder, "placed")
+    size = F.length("s").cast("long")
+    several = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
+    mixed = common.stored(placed.join(several, "key").join(sets.select("row", "s"), "row"), folder, "mixed")
+    blocks = mixed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum(size) / F.lit(BLOCK_BYTES))).cast("int").alias("m"))
+    dealt = (
+        mixed.join(blocks, "key")
+        .withColumn("block", F.pmod(F.xxhash64("row"), F.col("m")).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, m - 1)")))
+        .select("key", "row", "component", "s", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    )
+    # A block may be empty; then its pair has one block only, and nothing to compare.
+    full = dealt.groupBy("key", "i", "j").applyInArrow(_both_blocks, "a long, b long")
+    edges = common.stored(star.union(full).distinct(), folder, "links")
+    linked = common.connected_components(edges, folder, "all").join(sets.select("row", "doc_id"), F.col("v") == F.col("row")).select("root", "row", "doc_id")
+    kept = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k")).select("root", F.col("k.row").alias("stays"))
+    gone = common.stored(linked.join(kept, "root").filter("row <> stays").select("row"), folder, "gone")
+    return whole.join(gone, "row", "left_anti").select("doc.*")
+
+
+def _both_blocks(table: pa.Table) -> pa.Table:
+    blocks = set(table["block"].to_pylist())
+    if {table["i"][0].as_py(), table["j"][0].as_py()} <= blocks:
+        return _block_links(table)
+    return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
