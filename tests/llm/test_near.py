@@ -59,3 +59,10 @@ def test_blocks_chains_and_rows(spark):
 
 def test_no_rows(spark):
     assert near.without_near_copies(frame(spark, [])).count() == 0
+
+
+def test_one_row_of_equal_texts_stays(spark):
+    rows = [(1, "a text"), (1, "a text"), (1, "another text"), (2, "a  text"), (None, "no id"), (None, "no id"), (3, "a text"), (4, None), (4, "")]
+    out = corpus_pipeline.drop_copies(spark, frame(spark, rows), "")
+    assert sorted(((r.doc_id, r.text or "") for r in out.collect()), key=str) == sorted([(1, "a text"), (1, "another text"), (None, "no id"), (4, "")], key=str)
+    assert out.columns == frame(spark, []).columns
