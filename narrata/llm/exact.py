@@ -1,80 +1,113 @@
-"""Exact duplicates: an extendible-hash index of distinct texts in shared files (DataFrame functions only).
-
-Texts are equal when their white-space-normalised forms are.  Rows are first
-combined by (hash, normalised bytes) on the map side, so the shuffle carries
-one row per distinct text and task however large a group of copies is; equal
-hashes with different bytes stay separate rows, which form the chain of their
-hash.  The directory starts at depth 0 and doubles: a bucket of 2**-d of the
-hash space that holds more than ``capacity`` texts is split at depth d + 1, down
-to ``max_depth``; what is still overfull there stays as one chained bucket.
-The index is written in bucket order, each owner task holding a range of
-buckets; documents then find their chain entry.
+"""Exact duplicates: an extendible-hash index of texts in shared files (DataFrame functions only).
+
+Texts are equal when their white-space-normalised forms are.
+
+1. Every row's hash (64 bits), digest and id go into a table without texts.
+2. Directory.  It is laid out at the depth at which an even hash fills its
+   buckets; a bucket is a prefix of the hash.  A bucket with more than
+   ``capacity`` distinct hashes splits into two of one bit more, again and
+   again: there is no last depth but the hash's own 64 bits.
+3. Only hashes that several rows share need their texts compared.  Copies of one
+   text combine within their task first (a list of the rows, bounded by the
+   task's input), so a group that holds a third of all rows goes on as one row a
+   task.
+4. Owner tasks hold ranges of buckets.  Within a bucket the entries of one hash
+   are its chain, ordered by their bytes: neighbours with equal bytes are one
+   text, others are collisions and stay apart.  What the owners find is the index,
+   written in bucket order; the verdicts are read from it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .common import SPACE_CLASS
 
+#: Distinct hashes in a bucket.
+CAPACITY = 4096
 
-def normalised(col: str = "text"):
+
+def normalised(col: str = "text") -> Column:
     """The text with each run of ASCII white space replaced by one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(F.col(col), F.lit("")), SPACE_CLASS + "+", " ")
 
 
-def directory(chains: DataFrame, capacity: int, max_depth: int) -> DataFrame:
-    """(cell, depth, bucket): for each of at most 2**max_depth cells of the hash space its bucket.
-
-    A cell's bucket is the shallowest prefix that holds at most ``capacity``
-    texts: what repeated doubling of the directory arrives at.
+def _prefix(depth: int) -> Column:
+    """A hash without all but its first ``depth`` bits."""
+    return F.lit(0).cast("long") if depth == 0 else F.shiftleft(F.shiftright("h", 64 - depth), 64 - depth)
+
+
+def directory(hashes: DataFrame, folder: str, capacity: int = CAPACITY, depth: int | None = None) -> DataFrame:
+    """(h, depth, bucket) for each of the distinct ``hashes(h, ...)``, with their other columns; from ``depth`` on, overfull buckets split."""
+    if depth is None:
+        depth = max(0, (hashes.count() - 1) // capacity).bit_length()
+    rest = [c for c in hashes.columns if c != "h"]
+    levels, open_ = [], hashes
+    while True:
+        placed = open_.withColumn("bucket", _prefix(depth)).withColumn("in_bucket", F.count("*").over(Window.partitionBy("bucket")))
+        placed = common.stored(placed, folder, f"depth_{depth}")
+        full = (F.col("in_bucket") > capacity) & F.lit(depth < 64)
+        levels.append(placed.filter(~full).select("h", F.lit(depth).alias("depth"), "bucket", *rest))
+        open_ = placed.filter(full).select("h", *rest)
+        if open_.isEmpty():
+            break
+        depth += 1
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionAll(level)
+    return out
+
+
+def build_index(docs: DataFrame, folder: str, carry: tuple[str, ...] = (), capacity: int = CAPACITY, depth: int | None = None, hashed: Column | None = None) -> DataFrame:
+    """The index table (bucket, depth, h, chain, sha, keep, n, members): equal entries of a chain position are one text.
+
+    ``members``: the rows, as structs (doc_id, carried columns); ``keep``: the
+    one that stays, as (no id, doc_id, carried columns).
     """
-    cells = chains.groupBy(F.shiftrightunsigned("h", 64 - max_depth).alias("cell")).agg(F.count("*").alias("n"))
-    levels = cells.withColumn("depth", F.explode(F.expr(f"sequence(0, {max_depth})"))).withColumn(
-        "prefix", F.expr(f"shiftrightunsigned(cell, {max_depth} - depth)"))
-    full = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("in_bucket"))
-    fits = levels.join(full, ["depth", "prefix"]).filter((F.col("in_bucket") <= capacity) | (F.col("depth") == max_depth))
-    return fits.groupBy("cell").agg(F.min("depth").alias("depth")).withColumn(
-        "bucket", F.expr(f"shiftleft(shiftrightunsigned(cell, {max_depth} - depth), {max_depth} - depth)"))
-
-
-def build_index(docs: DataFrame, folder: str, capacity: int = 4096, max_depth: int = 16) -> DataFrame:
-    """The index table: (bucket, depth, h, chain, sha, keep_id, n), one row per distinct text."""
-    rows = docs.select(F.col("doc_id").alias("id"), normalised().alias("norm")).withColumn("h", F.xxhash64("norm"))
-    # Grouping by the bytes themselves is the byte comparison: no hash decides equality here.
-    chains = rows.groupBy("h", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
-    chains = common.stored(chains.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "n"), folder, "chains")
-    cells = common.stored(directory(chains, capacity, max_depth), folder, "directory")
-    owned = (
-        chains.withColumn("cell", F.shiftrightunsigned("h", 64 - max_depth))
-        .join(F.broadcast(cells), "cell")  # at most 2**max_depth rows
-        .repartitionByRange("bucket")
-        .withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "h").orderBy(F.col("keep_id").asc_nulls_last(), "sha")))
-        .sortWithinPartitions("bucket", "h", "chain")
-    )
-    return common.stored(owned.select("bucket", "depth", "h", "chain", "sha", "keep_id", "n"), folder, "index")
-
-
-def exact_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), capacity: int = 4096, max_depth: int = 16) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256): one row per row of ``docs``, with the columns ``carry`` as c_<name>.
+    member = F.struct(F.col("doc_id"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry])
+    h = F.xxhash64("norm") if hashed is None else hashed
+    rows = docs.select(member.alias("member"), normalised().alias("norm")).withColumn("h", h)
+    keyed = common.stored(rows.select("member", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), folder, "keyed")
+    hashes = keyed.groupBy("h").agg(F.count("*").alias("rows"))
+    cells = common.stored(directory(common.stored(hashes, folder, "hashes"), folder, capacity, depth), folder, "directory")
+
+    lone = F.struct(F.col("member.doc_id").isNull().alias("no_id"), F.col("member.*"))
+    alone = keyed.join(cells.filter("rows = 1").drop("rows"), "h").select(
+        "bucket", "depth", "h", F.lit("").alias("norm"), "sha", lone.alias("keep"), F.lit(1).cast("long").alias("n"), F.array("member").alias("members"))
+    # Texts travel for shared hashes only; a task's copies of a text are one row.  The key is a struct, so that the
+    # grouping does not build on the join's partitioning by hash: adaptive execution may then split a hot hash.
+    several = rows.join(cells.filter("rows > 1").drop("rows"), "h").groupBy(F.struct("bucket", "depth", "h").alias("cell"), "norm", F.spark_partition_id().alias("task")).agg(
+        F.min(lone).alias("keep"), F.count("*").alias("n"), F.collect_list("member").alias("members"))
+    several = several.select("cell.*", "norm", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep", "n", "members")
+    entries = common.stored(alone.unionByName(several), folder, "entries")
+
+    equal, chain = Window.partitionBy("bucket", "h", "norm"), Window.partitionBy("bucket", "h").orderBy("norm")
+    owned = entries.repartitionByRange("bucket").select(
+        "bucket", "depth", "h", F.dense_rank().over(chain).alias("chain"), "sha", F.min("keep").over(equal).alias("keep"), F.sum("n").over(equal).alias("n"), "members")
+    return common.stored(owned, folder, "index")
+
+
+def exact_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), capacity: int = CAPACITY, depth: int | None = None, hashed: Column | None = None) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256, stays): one row per row of ``docs``, with the columns ``carry`` as c_<name>.
 
     Of equal texts the row with the smallest doc_id is kept.  Null and empty
     texts are equal to each other; text of white space only becomes one space.
-    Rows that repeat a doc_id and a text get the same verdict; a null doc_id
-    yields to any other and is kept only where its whole group has none.  An
-    empty table gives an empty result.  A hot group's rows meet one index row,
-    a join whose large side adaptive execution splits.
+    Rows that repeat a doc_id and a text are kept or not together; ``stays`` is
+    true for those whose carried columns are the least, too, so it is true for
+    one row of a group if a row number is carried.  A null doc_id yields to any
+    other and is kept only where its whole group has none.  Texts of any length
+    are compared whole.  Other columns are ignored, whatever their names.  An
+    empty table gives an empty result.
     """
     folder = common.shared_dir(docs.sparkSession)
-    index = build_index(docs, folder, capacity, max_depth).select("h", "sha", "keep_id", "n")
-    rows = docs.select(F.col("doc_id").alias("doc_id"), normalised().alias("norm"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry]).select(
-        "doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), *[f"`c_{c}`" for c in carry])
-    return rows.join(index, ["h", "sha"]).select(
-        "doc_id", "keep_id", F.col("n").cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"), *[f"`c_{c}`" for c in carry])
+    index = build_index(docs, folder, carry, capacity, depth, hashed).select(F.inline("members"), "keep", "n", "sha")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *[f"`c_{c}`" for c in carry])
+    return index.select(
+        "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").cast("long").alias("group_size"),
+        F.col("doc_id").eqNullSafe(F.col("keep.doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+        own.eqNullSafe(F.col("keep")).alias("stays"), *[f"`c_{c}`" for c in carry])
 
 
 ORACLE = r"""

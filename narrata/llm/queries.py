@@ -38,7 +38,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_duplicates(documents(spark, sf_dir))
+    return exact.exact_duplicates(documents(spark, sf_dir)).drop("stays")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from conftest import SCHEMA, TEXTS
+from pyspark.sql import functions as F
 
 from narrata.llm import exact, simhash, suffix
 
@@ -85,18 +87,39 @@ def test_exact(docs, empty):
         ids = groups[norm(t)]
         keep = min((i for i in ids if i is not None), default=None)
         want.append((str(d), str(keep), len(ids), d == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
-    for kw in ({}, {"capacity": 1, "max_depth": 4}):
+    collide = (F.length("norm") % 3).cast("long")  # few hashes, so that chains hold several texts
+    for kw in ({}, {"capacity": 1, "depth": 0}, {"capacity": 2, "hashed": collide}):
         got = [(str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in exact.exact_duplicates(docs, **kw).collect()]
         assert sorted(got) == sorted(want)
     assert exact.exact_duplicates(empty).count() == 0
 
 
+def test_one_row_stays(spark):
+    rows = [(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b"), (2, None), (2, ""), (3, "c")]
+    df = spark.createDataFrame([(i, t, "en", "a", n, "x", "y") for n, (i, t) in enumerate(rows)], SCHEMA)
+    got = exact.exact_duplicates(df, carry=("n_chars",)).filter("stays").collect()
+    assert sorted(r.c_n_chars for r in got) == [0, 3, 5, 7]
+
+
 def test_directory_doubles(spark):
-    rows = spark.createDataFrame([(i << 58, ) for i in range(-32, 32)] * 1, "h long")
-    cells = exact.directory(rows, 4, 6).collect()
-    assert {c.depth for c in cells} == {4} and len({c.bucket for c in cells}) == 16
-    skewed = spark.createDataFrame([(i,) for i in range(50)], "h long")
-    assert {c.depth for c in exact.directory(skewed, 4, 6).collect()} == {6}
+    from narrata.llm import common
+    even = spark.createDataFrame([(i << 58,) for i in range(-32, 32)], "h long")
+    cells = exact.directory(even, common.shared_dir(spark), 4, 0).collect()
+    assert {c.depth for c in cells} == {4} and len({c.bucket for c in cells}) == 16 and len(cells) == 64
+    skewed = spark.createDataFrame([(i,) for i in range(50)] + [(1 << 62,)], "h long")
+    cells = exact.directory(skewed, common.shared_dir(spark), 4).collect()  # splits go on to the last bits
+    assert max(c.depth for c in cells) == 62 and len(cells) == 51
+    assert all(c.h >> (64 - c.depth) << (64 - c.depth) == c.bucket for c in cells if c.depth)
+    assert max(Counter((c.depth, c.bucket) for c in cells).values()) <= 4
+
+
+def test_index_chains_collisions(spark, docs):
+    """Texts of one hash are one chain: its entries differ in bytes, and each document is in the entry of its own."""
+    from narrata.llm import common
+    index = exact.build_index(docs, common.shared_dir(spark), hashed=F.lit(7).cast("long")).collect()
+    norm = {re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t, _, _ in TEXTS}
+    assert {r.h for r in index} == {7} and {r.chain for r in index} == set(range(1, len(norm) + 1))
+    assert sum(len(r.members) for r in index) == len(TEXTS)
 
 
 def brute_removal(rows, length):
