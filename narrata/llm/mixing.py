@@ -49,19 +49,21 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most_e
     )
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_epochs: int = 2, seed: int = 42) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): one row per row of ``docs``.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_epochs: int = 2, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken): one row per row of ``docs``, with the columns ``carry`` as c_<name>.
 
     ``taken`` counts the words that the mix takes of a document, repeats
     counted: its size in each whole round of its source, and in the cut round
     what the budget leaves.  The taken words of a source sum to its target,
     rounded to a word.  Null text has size 0; a null source is a source of its
     own; rows that repeat a doc_id are documents of their own, and those with
-    equal size too are interchangeable.  Reruns agree.  An empty table gives an
-    empty result.
+    equal size too are interchangeable.  Reruns agree.  Texts of any length are
+    counted whole; other columns are ignored, whatever their names.  An empty
+    table gives an empty result.
     """
     folder = common.shared_dir(docs.sparkSession)
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in().alias("size")).withColumn(
+    carried = [F.col(f"`{c}`").alias(f"c_{c}") for c in carry]
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in().alias("size"), *carried).withColumn(
         "key", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long"))
     sized = common.stored(sized, folder, "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -79,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     rest = budget - rounds * F.col("source_size") - F.col("start")
     return placed.select(
         "doc_id", "source", "size", "source_size", "target",
-        (rounds * F.col("size") + F.least("size", F.greatest(F.lit(0), rest))).cast("long").alias("taken"))
+        (rounds * F.col("size") + F.least("size", F.greatest(F.lit(0), rest))).cast("long").alias("taken"), *[f"`c_{c}`" for c in carry])
 
 
 ORACLE = r"""
