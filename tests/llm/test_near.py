@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from conftest import SCHEMA
 
-from narrata.llm import near
+from narrata.llm import simhash
 
 
 def jaccard(a, b, width=5):
@@ -53,12 +53,13 @@ def test_blocks_chains_and_rows(spark):
         text = changed(rnd, text, 2)
     assert set(groups(texts).values()) == {0}
     rows = [*texts.items(), (3, "quite another text of the same id that nobody else has"), (None, changed(rnd, texts[0], 1)), (None, "no id but clean"), (50, None), (51, " \n")]
-    out = near.without_near_copies(frame(spark, rows), block=4)
-    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(0, texts[0]), (3, rows[40][1]), (None, "no id but clean"), (50, None)], key=str)
+    for large in (10**6, 3):
+        out = simhash.without_near_copies(frame(spark, rows), block=4, large=large)
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(0, texts[0]), (3, rows[40][1]), (None, "no id but clean"), (50, None)], key=str)
 
 
 def test_no_rows(spark):
-    assert near.without_near_copies(frame(spark, [])).count() == 0
+    assert simhash.without_near_copies(frame(spark, [])).count() == 0
 
 
 def test_one_row_of_equal_texts_stays(spark):
