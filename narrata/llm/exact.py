@@ -39,10 +39,8 @@ def _prefix(depth: int) -> Column:
     return F.lit(0).cast("long") if depth == 0 else F.shiftleft(F.shiftright("h", 64 - depth), 64 - depth)
 
 
-def directory(hashes: DataFrame, folder: str, capacity: int = CAPACITY, depth: int | None = None) -> DataFrame:
+def directory(hashes: DataFrame, folder: str, capacity: int = CAPACITY, depth: int = 0) -> DataFrame:
     """(h, depth, bucket) for each of the distinct ``hashes(h, ...)``, with their other columns; from ``depth`` on, overfull buckets split."""
-    if depth is None:
-        depth = max(0, (hashes.count() - 1) // capacity).bit_length()
     rest = [c for c in hashes.columns if c != "h"]
     levels, open_ = [], hashes
     while True:
@@ -70,8 +68,9 @@ def build_index(docs: DataFrame, folder: str, carry: tuple[str, ...] = (), capac
     h = F.xxhash64("norm") if hashed is None else hashed
     rows = docs.select(member.alias("member"), normalised().alias("norm")).withColumn("h", h)
     keyed = common.stored(rows.select("member", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), folder, "keyed")
-    hashes = keyed.groupBy("h").agg(F.count("*").alias("rows"))
-    cells = common.stored(directory(common.stored(hashes, folder, "hashes"), folder, capacity, depth), folder, "directory")
+    if depth is None:  # where an even hash would fill the buckets
+        depth = (keyed.agg(F.approx_count_distinct("h")).first()[0] // capacity).bit_length()
+    cells = directory(keyed.groupBy("h").agg(F.count("*").alias("rows")), folder, capacity, depth)
 
     lone = F.struct(F.col("member.doc_id").isNull().alias("no_id"), F.col("member.*"))
     alone = keyed.join(cells.filter("rows = 1").drop("rows"), "h").select(
@@ -81,10 +80,13 @@ def build_index(docs: DataFrame, folder: str, carry: tuple[str, ...] = (), capac
     several = rows.join(cells.filter("rows > 1").drop("rows"), "h").groupBy(F.struct("bucket", "depth", "h").alias("cell"), "norm", F.spark_partition_id().alias("task")).agg(
         F.min(lone).alias("keep"), F.count("*").alias("n"), F.collect_list("member").alias("members"))
     several = several.select("cell.*", "norm", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep", "n", "members")
-    entries = common.stored(alone.unionByName(several), folder, "entries")
+    entries = alone.unionByName(several)
 
-    equal, chain = Window.partitionBy("bucket", "h", "norm"), Window.partitionBy("bucket", "h").orderBy("norm")
-    owned = entries.repartitionByRange("bucket").select(
+    # A task owns ranges of the hash, some to a task, as buckets begin evenly over it; no sample is needed to lay them out.
+    ranges = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = entries.withColumn("owner", F.floor(F.shiftrightunsigned("bucket", 33) / F.lit(float(1 << 31)) * F.lit(ranges)).cast("int"))
+    equal, chain = Window.partitionBy("owner", "bucket", "h", "norm"), Window.partitionBy("owner", "bucket", "h").orderBy("norm")
+    owned = entries.repartition("owner").select(
         "bucket", "depth", "h", F.dense_rank().over(chain).alias("chain"), "sha", F.min("keep").over(equal).alias("keep"), F.sum("n").over(equal).alias("n"), "members")
     return common.stored(owned, folder, "index")
 

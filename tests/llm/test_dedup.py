@@ -67,7 +67,7 @@ def test_pigeonring_loses_no_link(spark):
         fps |= {c, *(c ^ sum(1 << b for b in rnd.sample(range(64), k)) for k in (1, 2, 3, 4, 4, 5))}
     signed = [int(np.uint64(f).view(np.int64)) for f in fps]
     from narrata.llm import common
-    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), common.shared_dir(spark), hot=10**6).collect()}
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), common.shared_dir(spark), hot=10**6).distinct().collect()}
     want = {(min(a, b), max(a, b)) for a in signed for b in signed if a < b and (int(np.int64(a).view(np.uint64)) ^ int(np.int64(b).view(np.uint64))).bit_count() <= 4}
     assert got == want
 
@@ -107,7 +107,7 @@ def test_directory_doubles(spark):
     cells = exact.directory(even, common.shared_dir(spark), 4, 0).collect()
     assert {c.depth for c in cells} == {4} and len({c.bucket for c in cells}) == 16 and len(cells) == 64
     skewed = spark.createDataFrame([(i,) for i in range(50)] + [(1 << 62,)], "h long")
-    cells = exact.directory(skewed, common.shared_dir(spark), 4).collect()  # splits go on to the last bits
+    cells = exact.directory(skewed, common.shared_dir(spark), 4, 2).collect()  # splits go on to the last bits
     assert max(c.depth for c in cells) == 62 and len(cells) == 51
     assert all(c.h >> (64 - c.depth) << (64 - c.depth) == c.bucket for c in cells if c.depth)
     assert max(Counter((c.depth, c.bucket) for c in cells).values()) <= 4
