@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from narrata.shipping import shared_base, ship
@@ -60,6 +60,21 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, folder: str) -> DataFrame:
+    """(row, doc): the rows of ``docs`` as structs, with numbers that hold however often the table is read.
+
+    Rows of a Parquet table are numbered by file and place; any other table is
+    written first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "_metadata" in docs.columns or not docs.inputFiles()[0:1]:
+        return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), folder, "rows")
+    path = F.col("_metadata.file_path")
+    files = stored(docs.select(path.alias("file")).distinct().withColumn("f", F.row_number().over(Window.orderBy("file"))), folder, "files")  # a row per file
+    rows = docs.select(path.alias("file"), F.col("_metadata.row_index").alias("at"), F.struct("*").alias("doc")).join(files, "file")
+    return rows.select(F.shiftleft(F.col("f").cast("long"), 40).bitwiseOR(F.col("at")).alias("row"), "doc")
+
+
 def dropped(spark: SparkSession, folder: str, *names: str) -> None:
     """Deletes tables that later steps no longer read."""
     for name in names:

@@ -181,7 +181,7 @@ def _forest(keyed: DataFrame, block: int) -> DataFrame:
 
 
 def links(distinct: DataFrame, folder: str, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """(a, b) with a < b: links between distinct fingerprints ``distinct(fp)``.
+    """(a, b) with a < b, some more than once: links between distinct fingerprints ``distinct(fp)``.
 
     Complete up to reachability: within keys that over ``hot`` fingerprints
     share, a spanning forest stands for the pairs.
@@ -202,7 +202,7 @@ def links(distinct: DataFrame, folder: str, hot: int = HOT, block: int = BLOCK)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return common.stored(out.distinct(), folder, "links")
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -408,7 +408,7 @@ def without_near_copies(docs: DataFrame, block: int = SETS, large: int = LARGE)
     carried whatever their names, and an empty table gives an empty result.
     """
     folder = common.shared_dir(docs.sparkSession)
-    whole = common.stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), folder, "rows")
+    whole = common.numbered(docs, folder)
     texts = whole.select("row", "doc.text")
     signed = common.stored(_signatures(texts), folder, "signed")
     shared = common.stored(_together(signed.select("row", "fp", "size", F.explode("keys").alias("key"))), folder, "shared")
@@ -428,18 +428,17 @@ def without_near_copies(docs: DataFrame, block: int = SETS, large: int = LARGE)
     placed = shared.select("key", "row", "fp", "size").join(labels, F.col("row") == F.col("v"), "left").select("key", "row", "fp", "size", F.coalesce("root", "row").alias("component"))
     of_key = Window.partitionBy("key")
     mixed = placed.withColumn("c1", F.min("component").over(of_key)).withColumn("c2", F.max("component").over(of_key)).withColumn("n", F.count("*").over(of_key)).withColumn("bytes", 8 * F.sum(F.col("size").cast("long")).over(of_key)).filter("c1 <> c2")
-    mixed = common.stored(mixed.drop("c1", "c2").join(sets, "row"), folder, "mixed")
     dealt = (
-        mixed.withColumn("m", F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("bytes") / F.lit(SET_BYTES))).cast("int"))
+        mixed.drop("c1", "c2").join(sets, "row")
+        .withColumn("m", F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("bytes") / F.lit(SET_BYTES))).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("row"), F.col("m")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, m - 1)")))
         .select("key", "row", "component", "fp", "size", "s", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
     full = dealt.groupBy("key", "i", "j").applyInArrow(_set_links, "a long, b long")
-    edges = common.stored(star.union(full).distinct(), folder, "links")
-    linked = common.connected_components(edges, folder, "all")
+    linked = common.connected_components(star.union(full), folder, "all")
     ids = whole.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"))
     linked = linked.join(ids, F.col("v") == F.col("row")).select("root", "row", "doc_id")
     kept = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k")).select("root", F.col("k.row").alias("stays"))
-    gone = common.stored(linked.join(kept, "root").filter("row <> stays").select("row"), folder, "gone")
+    gone = linked.join(kept, "root").filter("row <> stays").select("row")
     return whole.join(gone, "row", "left_anti").select("doc.*")
