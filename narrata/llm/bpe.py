@@ -85,16 +85,20 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 class Encoder:
-    """Encodes batches of texts to ids and back.  ``path``: a tokenizer's .json, or a rank file with its ``pattern``."""
+    """Encodes batches of texts to ids and back.  ``path``: a tokenizer's .json, or a rank file with its ``pattern``.
 
-    def __init__(self, path: str, pattern: str | None = None, remembered: int = REMEMBERED):
+    ``special``: whether the strings of a .json's special tokens become those
+    tokens, the library's default, or are ordinary text.
+    """
+
+    def __init__(self, path: str, pattern: str | None = None, remembered: int = REMEMBERED, special: bool = False):
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         chars = byte_chars()
         back = {c: b for b, c in enumerate(chars)}
         if path.endswith(".json"):
             tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True  # their strings in a text are ordinary text
+            tok.encode_special_tokens = not special
             if tok.normalizer is not None:
                 raise ValueError("byte-level vocabularies without a normalizer are supported")
             self.pre, self.model = tok.pre_tokenizer, tok.model
@@ -108,10 +112,16 @@ class Encoder:
             self.tokens = [b""] * (max(ranks.values()) + 1)
             for t, r in ranks.items():
                 self.tokens[r] = t
-        lens = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
+        added = [t.content for t in tok.get_added_tokens_decoder().values()] if special and path.endswith(".json") else []
+        self.contents, self.added, self.library = added, "|".join(map(regex.escape, added)), tok if added else None
+        spelled = list(self.tokens)
+        for i, t in tok.get_added_tokens_decoder().items() if added else ():
+            spelled += [b""] * (i + 1 - len(spelled))
+            spelled[i] = t.content.encode()
+        lens = np.fromiter(map(len, spelled), np.int64, len(spelled))
         self.byte_len, self.byte_at = lens, np.cumsum(lens) - lens
-        self.byte_flat = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.decimal = list(map(str, range(len(self.tokens))))
+        self.byte_flat = np.frombuffer(b"".join(spelled), np.uint8)
+        self.decimal = list(map(str, range(len(spelled))))
         self.split = regex.compile(pattern or public_pattern()).findall
         self.bulk = Tokenizer(self.model)  # no pre-tokenizer: what it gets is one piece or pieces that cannot merge
         in_merges = {c for t in self.tokens if len(t) > 1 for c in t}
@@ -132,6 +142,8 @@ class Encoder:
 
     def _whole(self, text: str) -> list[int]:
         """The ids of a text: the library's pre-tokenizer, then its model for each piece not seen yet."""
+        if self.added and regex.search(self.added, text):
+            return self.library.encode(text, add_special_tokens=False).ids
         out: list[int] = []
         if len(self.wide) > self.remembered:
             self.wide.clear()
@@ -179,7 +191,10 @@ class Encoder:
             return np.zeros(len(units), np.int8)
         text = pa.array(units, pa.string())
         plain, latin = (np.asarray(pc.match_substring_regex(text, p)) for p in (PLAIN, LATIN))
-        return np.where(plain & self.whole_ascii, 2, np.where(latin, 1, 0)).astype(np.int8)
+        kinds = np.where(plain & self.whole_ascii, 2, np.where(latin, 1, 0)).astype(np.int8)
+        for content in self.contents:
+            kinds[np.asarray(pc.match_substring(text, content))] = 0
+        return kinds
 
     def _learn(self, fresh: list[str]) -> None:
         """Adds the ids of new cuts, in their order."""
@@ -200,6 +215,8 @@ class Encoder:
             self._forget()
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         safe = ~np.asarray(pc.match_substring_regex(texts, UNSAFE))
+        for content in self.contents:
+            safe &= ~np.asarray(pc.match_substring(texts, content))
         plain = texts if safe.all() else texts.filter(pa.array(safe))
         marked = pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0")
         cuts = pc.split_pattern(marked, "\0")
@@ -283,9 +300,9 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, pattern: str | None = None, remembered: int = REMEMBERED) -> Encoder:
+def encoder(path: str, pattern: str | None = None, remembered: int = REMEMBERED, special: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file, made once."""
-    key = path, pattern, remembered
+    key = path, pattern, remembered, special
     if key not in _encoders:
         _encoders[key] = Encoder(*key)
     return _encoders[key]
@@ -295,7 +312,9 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>, starts array<int>, ends array<int>): ids with character offsets, a row per row of ``docs``.
 
     Null and empty texts have no ids.  Rows that repeat a doc_id are rows of
-    their own; texts of any length are handled a slice of rows at a time.
+    their own; texts of any length are handled a slice of rows at a time, and
+    whole.  Other columns are ignored, whatever their names; an empty table
+    gives an empty result.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -311,7 +330,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
-    """(doc_id, text binary): the bytes of (doc_id, ids)."""
+    """(doc_id, text binary): the bytes of (doc_id, ids), a row per row; null or no ids give no bytes, other columns are ignored."""
 
     def run(batches):
         for batch in batches:

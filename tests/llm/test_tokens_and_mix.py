@@ -27,7 +27,12 @@ def test_ids_are_the_libraries(texts):
     hf = Tokenizer.from_file(JSON)
     hf.encode_special_tokens = True
     tt = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
-    for enc, plain in ((bpe.Encoder(JSON), lambda t: hf.encode(t, add_special_tokens=False).ids), (bpe.Encoder(RANKS, PATTERN), tt.encode_ordinary)):
+    usual = Tokenizer.from_file(JSON)
+    for enc, plain in (
+        (bpe.Encoder(JSON), lambda t: hf.encode(t, add_special_tokens=False).ids),
+        (bpe.Encoder(JSON, special=True), lambda t: usual.encode(t, add_special_tokens=False).ids),
+        (bpe.Encoder(RANKS, PATTERN), tt.encode_ordinary),
+    ):
         for at in range(0, len(texts), 700):
             part = texts[at : at + 700]
             ids, lens = enc.encode(part)
@@ -62,7 +67,7 @@ def test_round_trip(docs, empty):
 
 @pytest.mark.parametrize("ids", [[], [0], [5, 5, 5], list(range(300)) * 5, np.random.default_rng(0).integers(0, 100_000, 4000).tolist()])
 def test_wavelet_matrix(ids):
-    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(np.array(ids, np.uint32)).to_bytes())
+    m = wavelet.WaveletMatrix(wavelet.pack(np.array(ids, np.uint32)))
     assert m.to_ids().tolist() == list(ids)
     for p in range(0, len(ids), max(1, len(ids) // 40)):
         v = ids[p]
@@ -70,9 +75,23 @@ def test_wavelet_matrix(ids):
     assert m.count(77_777_777) == 0 and m.select(3, 10**6) == -1
 
 
+def test_lookups_open_few_chunks():
+    """A lookup in a file of many chunks opens at most a few per level."""
+    rnd = np.random.default_rng(3)
+    ids = rnd.integers(0, 50_000, 1_000_000).astype(np.uint32)
+    data = wavelet.pack(ids)
+    places = np.flatnonzero(ids == ids[777_777])
+    for look, want in (
+        (lambda m: m.access(777_777), ids[777_777]),
+        (lambda m: m.count(int(ids[777_777])), len(places)),
+        (lambda m: m.select(int(ids[777_777]), len(places) - 1), places[-1]),
+    ):
+        m = wavelet.WaveletMatrix(data)
+        assert look(m) == want and 0 < m.opened <= 3 * m.width < sum(map(len, m.ends)) / 4
+
+
 def test_shards(spark, docs, empty):
-    hf = Tokenizer.from_file(JSON)
-    hf.encode_special_tokens = True
+    hf = Tokenizer.from_file(JSON)  # the library's defaults, special tokens' strings included
     for size in (1 << 20, 7):
         path = f"{common.shared_dir(spark)}/shards"
         got = wavelet.read(wavelet.write(docs, path, JSON, shard_ids=size)).orderBy("start").collect()
