@@ -1,6 +1,6 @@
 """Language identification of mixed text: scripts narrow, trigrams score words, Viterbi labels spans.
 
-Per word, the languages that the training texts show in its script are
+Per word, the languages that write in its script, by their training texts, are
 candidates; hashed character trigrams give each a log probability; and the best
 sequence of languages pays a penalty for every switch, so that spans of one
 language come out whole.  The Viterbi steps run over all documents of a slice at
@@ -20,9 +20,11 @@ from . import common
 BUCKETS = 1 << 16
 #: Training texts per language, about: a hash of the id picks the share that gives so many.
 PER_LANGUAGE = 3000
+#: Distinct languages that a model can tell apart.
+MOST_LANGUAGES = 2000
 #: Log probability that a switch of language costs.
 SWITCH = 8.0
-#: A language is a candidate for a script if it has this share of the script's training letters.
+#: A language is a candidate for a script if this share of the language's own training letters is in it.
 SHARE = 0.001
 #: Script ranges of Unicode blocks (first, last, script).
 SCRIPTS = (
@@ -33,7 +35,7 @@ SCRIPTS = (
     (0x0E00, 0x0E7F, "thai"), (0x0E80, 0x0EFF, "lao"), (0x0F00, 0x0FFF, "tibetan"), (0x1000, 0x109F, "myanmar"), (0x10A0, 0x10FF, "georgian"),
     (0x1100, 0x11FF, "hangul"), (0x1200, 0x137F, "ethiopic"), (0x1780, 0x17FF, "khmer"), (0x1800, 0x18AF, "mongolian"), (0x1E00, 0x1EFF, "latin"),
     (0x1F00, 0x1FFF, "greek"), (0x3040, 0x309F, "kana"), (0x30A0, 0x30FF, "kana"), (0x3400, 0x4DBF, "han"), (0x4E00, 0x9FFF, "han"),
-    (0xAC00, 0xD7AF, "hangul"), (0xF900, 0xFAFF, "han"), (0x20000, 0x2FA1F, "han"),
+    (0xAC00, 0xD7AF, "hangul"), (0xF900, 0xFAFF, "han"), (0x20000, 0x2FA1F, "han"), (0x30000, 0x323AF, "han"),
 )
 NAMES = ["other", *dict.fromkeys(s for _, _, s in SCRIPTS)]
 
@@ -45,7 +47,7 @@ def _code_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not _tables:
         n = 0x110000
         letter, script, lower = np.zeros(n, bool), np.zeros(n, np.uint8), np.arange(n, dtype=np.uint32)
-        for c in range(0x30000):
+        for c in range(n):
             ch = chr(c)
             if ch.isalpha():
                 letter[c] = True
@@ -131,9 +133,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     The sample is bounded by ``per_language`` times the number of languages,
     about; counts are combined per slice and per bucket before they come to the
-    driver (BUCKETS per language at most).
+    driver (BUCKETS per language at most).  More than ``MOST_LANGUAGES`` distinct
+    values of lang raise: such a column holds something else.
     """
-    counts = {r["lang"]: r["n"] for r in docs.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    named = docs.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(named) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} values of lang")
+    counts = {r["lang"]: r["n"] for r in named}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool))
@@ -155,7 +161,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     flat[np.asarray(table["k"])] = np.asarray(table["c"])
     grid = flat.reshape(-1, len(languages))
     tri, by_script = grid[:BUCKETS] + 0.1, grid[BUCKETS:]
-    allowed = by_script >= SHARE * np.maximum(by_script.sum(axis=1, keepdims=True), 1)
+    allowed = by_script >= SHARE * np.maximum(by_script.sum(axis=0, keepdims=True), 1)
     allowed[~allowed.any(axis=1)] = True  # a script that training never showed narrows nothing
     return Model(languages, np.log(tri / tri.sum(axis=0)).astype(np.float32), allowed)
 
@@ -167,8 +173,9 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool
     name); ``score``: its share of the letters.  Spans are character offsets of
     words joined while their language lasts.  Text that is null or without a
     letter is ``und`` with score 0 and no spans, as is any text when the model
-    knows no language.  Rows that repeat a doc_id are labelled each; an empty
-    table gives an empty result.
+    knows no language.  Rows that repeat a doc_id are labelled each.  Texts of
+    any length are labelled whole, a slice of rows at a time; other columns are
+    ignored, whatever their names.  An empty table gives an empty result.
     """
 
     def run(batch):

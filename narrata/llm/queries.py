@@ -33,8 +33,8 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.filter(~remainder("doc_id", 4, 2)))
-    out = langid.identify(docs, model, spans=False)
-    return out.select("doc_id", remainder("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+    out = langid.identify(docs, model)
+    return out.select("doc_id", remainder("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
