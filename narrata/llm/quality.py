@@ -3,8 +3,9 @@
 Each document is measured against rules; a host (the source) has a rate of
 documents that fail any.  Rates of small hosts are noise, so each is shrunk
 towards the hosts' common rate with the strength that the spread of the rates
-implies (moments of a beta distribution).  On a host whose shrunk rate is above
-``most`` a document must pass every rule; elsewhere the base rule alone decides.
+implies (moments of a beta distribution).  On a host whose shrunk rate stands out
+from that prior, by ``over`` of its standard deviations, a document must pass
+every rule; elsewhere the base rule alone decides.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 WINDOW = 5
 #: The prior counts as so many documents at least and at most.
 STRENGTH = (1.0, 1000.0)
-#: Share of failing documents above which a host is strict.
-MOST = 0.5
+#: Standard deviations of the prior by which a strict host's shrunk rate is above the prior's mean.
+OVER = 0.5
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -80,13 +81,15 @@ BASE = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 SOFT = "10 * n_symbols > word_chars OR 4 * n_dup_lines > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words"
 
 
-def host_rules(docs: DataFrame, most: float = MOST) -> DataFrame:
+def host_rules(docs: DataFrame, over: float = OVER) -> DataFrame:
     """Measures with base_failed, failed, host_rate (shrunk), host_strict and kept: one row per row of ``docs``.
 
     Null text has no words and so fails the base rule; a null source is a host
-    of its own; rows that repeat a doc_id are judged each.  An empty table
-    gives an empty result.  Counts per host are combined before the shuffle,
-    so a hot host is one row per task.
+    of its own; rows that repeat a doc_id are judged each.  Texts of any length
+    are measured whole; other columns are ignored, whatever their names.  Where
+    all hosts have one rate, none stands out.  An empty table gives an empty
+    result.  Counts per host are combined before the shuffle, so a hot host is
+    one row per task.
     """
     folder = common.shared_dir(docs.sparkSession)
     rows = measures(docs).withColumn("base_failed", F.expr(BASE)).withColumn("failed", F.expr(f"{BASE} OR {SOFT}"))
@@ -98,8 +101,9 @@ def host_rules(docs: DataFrame, most: float = MOST) -> DataFrame:
     mean, strength = mean or 0.0, STRENGTH[1]
     if spread_of:
         strength = min(STRENGTH[1], max(STRENGTH[0], mean * (1 - mean) / spread_of - 1))
+    limit = mean + over * (max(0.0, mean * (1 - mean)) / (strength + 1)) ** 0.5
     verdicts = hosts.select(F.col("host").alias("h"), ((F.col("bad") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))).alias("host_rate"))
-    return rows.join(verdicts, rows.host.eqNullSafe(verdicts.h)).drop("h").withColumn("host_strict", F.col("host_rate") > most).withColumn(
+    return rows.join(verdicts, rows.host.eqNullSafe(verdicts.h)).drop("h").withColumn("host_strict", F.col("host_rate") > limit).withColumn(
         "kept", ~F.col("base_failed") & ~(F.col("host_strict") & F.col("failed")))
 
 
@@ -117,7 +121,7 @@ f AS (SELECT *, ({BASE}) AS base_failed, ({BASE} OR {SOFT}) AS failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS bad FROM f GROUP BY source),
 s AS (SELECT avg(bad / n) AS mu, var_pop(bad / n) AS v FROM h),
 a AS (SELECT mu, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, mu * (1 - mu) / v - 1)) ELSE 1000.0 END AS st FROM s),
-r AS (SELECT source, (bad + mu * st) / (n + st) > 0.5 AS strict FROM h, a)
+r AS (SELECT source, (bad + mu * st) / (n + st) > mu + {OVER} * sqrt(mu * (1 - mu) / (st + 1)) AS strict FROM h, a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (strict AND failed) AS kept
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """
