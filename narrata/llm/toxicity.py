@@ -24,6 +24,8 @@ FIT_ROWS = 20_000
 LEXICON = 600
 #: Bytes of word beginnings that count as lexicon candidates beside whole words.
 STEMS = (4, 5, 6)
+#: Bytes by which a longer word is known.
+LONGEST = 40
 #: Second-person pronouns of a few languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur thou thee du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes vosotros tú ti tuyo vuestro".encode().split())
 #: ASCII capitals to small letters; ASCII punctuation and control characters to spaces.
@@ -37,8 +39,9 @@ FEATURES = ("hit_weight", "hits", "hit_kinds", "top_weight", "near_you", "you",
 
 
 def stems(word: bytes) -> list[bytes]:
-    """A word's lexicon candidates: itself, and its beginnings marked with an asterisk."""
-    return [word, *(word[:n] + b"*" for n in STEMS if len(word) >= n)]
+    """A word's lexicon candidates: itself, or the head of a very long one, and its beginnings, marked with an asterisk."""
+    own = word if len(word) <= LONGEST else word[:LONGEST] + b"*"
+    return [own, *(word[:n] + b"*" for n in STEMS if len(word) >= n)]
 
 
 def stem_counts(sample: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ def stem_counts(sample: DataFrame) -> DataFrame:
         good: dict[bytes, int] = {}
         for t, y in zip(batch.column("t").to_pylist(), batch.column("y").to_pylist()):
             into = bad if y else good
-            for s in {s for w in set(t.translate(PLAIN).split()) if 3 <= len(w) <= 40 for s in stems(w)}:
+            for s in {s for w in set(t.translate(PLAIN).split()) if len(w) >= 3 for s in stems(w)}:
                 into[s] = into.get(s, 0) + 1
         keys = list(bad.keys() | good.keys())
         return pa.record_batch([pa.array(keys, pa.binary()), *(pa.array([c.get(k, 0) for k in keys], pa.int64()) for c in (bad, good))], ["stem", "bad", "good"])
@@ -192,14 +195,16 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     """Fits on at most ``most`` rows of ``labels(doc_id, toxic)``; rows with a null label or id don't count.
 
-    Three of four sampled rows grow the trees, the fourth calibrates.
+    A doc_id that labels repeat is toxic if one of them says so, and of rows
+    that share a doc_id the least text is taken, so the sample has ``most`` rows
+    at most.  Three of four sampled rows grow the trees, the fourth calibrates.
     """
     chosen = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     folder = common.shared_dir(docs.sparkSession)
     chosen = common.stored(chosen.withColumnRenamed("doc_id", "l_id"), folder, "chosen")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("t"))
-    sample = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "y", "t")  # at most `most` rows
-    sample = common.stored(sample, folder, "sample")
+    sample = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))  # at most `most` rows
+    sample = common.stored(sample.groupBy("doc_id", "y").agg(F.min("t").alias("t")), folder, "sample")
     lexicon = learn_lexicon(sample)
 
     def run(batch):
@@ -223,8 +228,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted): the calibrated probability of every row of ``docs``.
 
     Null and empty texts are scored by their zero features; rows that repeat a
-    doc_id are scored each; other columns are ignored; an empty table gives an
-    empty result.
+    doc_id are scored each; texts of any length are read whole; other columns
+    are ignored, whatever their names; an empty table gives an empty result.
     """
 
     def run(batch):
