@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -120,6 +121,87 @@ def test_exchange_raises_likelihood():
     assert {frozenset(np.flatnonzero(of == c)) for c in set(of)} == {frozenset(range(0, 40, 2)), frozenset(range(1, 40, 2))}
 
 
-def test_split_rule():
+def plain_score(text, model, counts):
+    """log10 of a text's probability by the model's formula, word by word."""
+    cls, total = model.classes, 0.0
+    before = cls.end
+    for w in brown.words_of((text or "").encode()):
+        k = int(cls.of([w])[0])
+        total += model.transition[before, k] + math.log10(counts.get(w, 0) + 0.5) - model.norm[k]
+        before = k
+    return total
+
+
+def test_brown_score_against_brute_force(spark):
+    rnd = random.Random(9)
+    nouns, verbs = [f"noun{i}" for i in range(60)], [f"verb{i}" for i in range(60)]
+    texts = [" ".join(w for _ in range(rnd.randrange(1, 30)) for w in ("The", rnd.choice(nouns), rnd.choice(verbs))) for _ in range(200)] + [None, "", "unseen words only"]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "", "") for i, t in enumerate(texts)], SCHEMA)
+    train = df.filter("doc_id < 180")
+    from narrata.llm import common
+    model, table = brown.fit(train, common.shared_dir(spark), frequent=20, classes=3, head=30)
+    counts = {bytes(r["word"]): r["c"] for r in table.collect()}
+    got = {r.doc_id: r.score for r in brown.score(df, train, frequent=20, classes=3, head=30).collect()}
+    assert all(abs(got[i] - plain_score(t, model, counts)) < 1e-6 for i, t in enumerate(texts))
+    # Emissions of a class and transitions from it are probabilities, one unknown word counted in.
+    n_k, v_k = Counter(), Counter()
+    for w, c in counts.items():
+        k = int(model.classes.of([w])[0])
+        n_k[k] += c
+        v_k[k] += 1
+    for k in range(model.classes.count):
+        assert abs(10 ** model.norm[k] - (n_k[k] + 0.5 * (v_k[k] + 1))) < 1e-6 and abs((10 ** model.transition[k]).sum() - 1) < 1e-6
+
+
+def test_every_word_moves(spark):
+    """Words beyond the clustered ones find the class of their kind, whatever their endings are."""
+    rnd = random.Random(3)
+    kinds = [[f"{rnd.randrange(10**6)}x{i}" for i in range(150)] for _ in range(2)]
+    common_words = [["aa", "ab", "ac"], ["ba", "bb", "bc"]]
+    pick = lambda k: rnd.choice(common_words[k] if rnd.random() < 0.5 else kinds[k])
+    texts = [" ".join(pick(i % 2) for i in range(60)) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "", "") for i, t in enumerate(texts)], SCHEMA)
+    from narrata.llm import common
+    model, _ = brown.fit(df, common.shared_dir(spark), frequent=6, classes=2)
+    still, _ = brown.fit(df, common.shared_dir(spark), frequent=6, classes=2, sweeps=0)
+    of = [Counter(model.classes.of([w.encode() for w in k]).tolist()).most_common(1)[0] for k in kinds]
+    assert of[0][0] != of[1][0] and min(n for _, n in of) > 140
+    assert len(set(still.classes.of([w.encode() for w in kinds[0]]).tolist())) > 10
+    scores = [sum(r.score for r in brown.score(df, df, frequent=6, classes=2, sweeps=s).collect()) for s in (0, 1)]
+    assert scores[1] > scores[0]
+
+
+def test_remainder(spark):
+    from narrata.llm import queries
+    ids = [None, 0, 1, 12, 100, -5, 2**40]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for by, value in ((5, 1), (4, 2), (5, 0)):
+        got = [r.x for r in df.select(queries.remainder("doc_id", by, value).alias("x")).collect()]
+        assert got == [zlib.crc32(b"" if i is None else str(i).encode()) % by == value for i in ids]
+
+
+def test_host_over_the_prior(spark):
+    """On the host that stands out a soft failure goes; the same text stays elsewhere; clean texts stay everywhere."""
+    clean, soft = lambda i: " ".join(f"w{i}x{j}" for j in range(30)), lambda i: " ".join(f"{'long' * 6}{i}x{j}" for j in range(30))
+    rows = [(h * 100 + i, soft(i) if i < (40 if h == 0 else 5) else clean(i), "en", f"h{h}", 0, "", "") for h in range(8) for i in range(100)]
+    got = {r.doc_id: r for r in quality.host_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(r.base_failed for r in got.values()) and {r.host for r in got.values() if r.host_strict} == {"h0"}
+    assert {i for i, r in got.items() if not r.kept} == set(range(40))
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_held_out_quality(spark):
+    """On rows that training left out: languages, toxicity, and perplexity against the unigram base."""
     from narrata.llm import queries
-    assert zlib.crc32(b"12") % 5 == 1330857165 % 5 and queries.remainder is not None
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    langs = queries.op3_langid(spark, DATA).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null").collect()
+    assert sum(r.lang_pred == r.lang for r in langs) >= 0.97 * len(langs) > 100
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").filter("toxic is not null")
+    toxic = queries.op5_toxicity(spark, DATA).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    hits = [r for r in toxic if r.toxic == 1]
+    assert sum(r.predicted for r in hits) >= 0.6 * len(hits) > 0 and sum(r.predicted for r in toxic if r.toxic == 0) <= 0.02 * len(toxic)
+    lm = queries.op10_brown(spark, DATA).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert lm[0] > lm[1] and 10 ** (-lm[0] / lm[2]) < 0.75 * 10 ** (-lm[1] / lm[2])
