@@ -115,22 +115,25 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
-BITMAP_BITS = 1 << 27
+#: Bits of a bitmap, at least and at most (128 MB); between, 16 for each value.
+BITMAP_BITS = 1 << 20, 1 << 30
 
 
 def bitmap_of(df: DataFrame, col: str) -> np.ndarray:
-    """A bitmap of 2**27 bits (16 MB, whatever the input's size): set where a well-mixed long column's low bits point.
+    """A bitmap of a power of two of bits, by the table's size: set where a well-mixed long column's low bits point.
 
-    It is built on the executors; at most 4096 rows of 4 KB come to the driver.
-    As a prefilter it only saves work: what passes is joined exactly afterwards.
+    It is built on the executors; rows of 4 KB come to the driver, 128 MB at
+    most.  As a prefilter it only saves work: what passes is joined exactly
+    afterwards, also where a table of over 2**30 values fills it.
     """
-    pos = F.col(col).bitwiseAND(F.lit(BITMAP_BITS - 1))
+    bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], 1 << (16 * df.count() - 1).bit_length()))
+    pos = F.col(col).bitwiseAND(F.lit(bits - 1))
     rows = (
         df.filter(F.col(col).isNotNull())
         .select(F.shiftrightunsigned(pos, 15).cast("int").alias("b"), pos.bitwiseAND(F.lit(32767)).alias("p"))
         .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
     ).toArrow()
-    out = np.zeros((BITMAP_BITS >> 15, 4096), np.uint8)
+    out = np.zeros((bits >> 15, 4096), np.uint8)
     for b, m in zip(rows["b"].to_pylist(), rows["m"].to_pylist()):
         out[b] = np.frombuffer(m, np.uint8)
     return out.reshape(-1)
@@ -138,7 +141,7 @@ def bitmap_of(df: DataFrame, col: str) -> np.ndarray:
 
 def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which of the int64 ``values`` may be in the bitmap (no false negatives)."""
-    pos = values.view(np.uint64) & np.uint64(BITMAP_BITS - 1)
+    pos = values.view(np.uint64) & np.uint64(8 * len(bitmap) - 1)
     return (bitmap[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 

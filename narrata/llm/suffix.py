@@ -15,11 +15,12 @@ the input.
    first place survives.
 3. Index.  The phrases of all other minimizers are dealt out by minimizer.  Each
    task builds run-length Burrows-Wheeler indexes over blocks of whole minimizer
-   groups: runs, their LF targets, and suffix samples at run ends.  It streams
-   each phrase through the index, from its end to its start, one LF step per
-   byte, and reads at every window start the matching statistic against the
-   neighbours in suffix order: where it reaches ``length``, the window shares
-   its class with them, and the earliest of the class survives.
+   groups: runs, their LF targets, and suffix samples at run starts and ends.
+   Comparing the suffixes sampled on either side of a run's start gives their
+   matching statistics, and within runs the statistics follow from these.  It
+   streams each phrase through the index, from its end to its start, one LF step
+   per byte; at a window start the rows whose statistics reach ``length`` are the
+   window's class, and the earliest of the class survives.
 4. Mark.  The windows of phrases with repeated minimizers go, but for survivors.
 
 A minimizer with over ``HOT`` distinct phrases (a common passage's edge in very
@@ -188,35 +189,25 @@ def _rows(docs: DataFrame) -> DataFrame:
 class RunLengthIndex:
     """A run-length BWT over phrases, each closed by a terminator below all bytes.
 
-    ``heads``: where runs start; ``lf``: the LF target of each head; ``tails``: text positions sampled at run ends;
-    ``cuts``: where neighbours in suffix order share less than ``length`` bytes.
+    ``heads``: where runs start; ``lf``: the LF target of each head; ``firsts``
+    and ``tails``: text positions sampled at run starts and ends; ``stats``:
+    matching statistics at the sampled positions.  The suffix order itself is
+    not kept.
     """
 
     def __init__(self, texts: list[bytes], length: int):
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(lens + 1)
-        self.starts, self.lens, n = ends - lens - 1, lens, int(ends[-1])
-        sym = np.zeros(n, np.uint16)
+        self.length, self.starts, self.lens, n = length, ends - lens - 1, lens, int(ends[-1])
+        data = np.zeros(n + 8, np.uint8)
         inside = np.ones(n, bool)
         inside[ends - 1] = False
-        sym[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
+        data[:n][inside] = np.frombuffer(b"".join(texts), np.uint8)
+        sym = np.where(inside, data[:n].astype(np.uint16) + 1, 0).astype(np.uint16)
         left = (np.repeat(ends, lens + 1) - np.arange(n)).astype(np.int32)  # symbols up to and with the terminator
-        # Ranks by the first 4 symbols, then doubled; what follows a terminator does not count.
-        key = np.zeros(n, np.uint64)
-        for i in range(4):
-            part = np.zeros(n, np.uint64)
-            part[: n - i] = sym[i:]
-            key = (key << np.uint64(9)) | np.where(left > i, part, 0).astype(np.uint64)
-        rank, depth, at_length = self._ranked(key), 4, None
-        longest = int(lens.max()) + 1
-        while depth < longest or at_length is None:
-            if at_length is None and 2 * depth >= length:
-                at_length = self._ranked(self._pair(rank, left, length - depth))  # exactly `length` symbols
-            if depth < longest:
-                rank = self._ranked(self._pair(rank, left, depth))
-            depth *= 2
-        order = np.argsort(rank, kind="stable")  # equal tails in text order, which LF keeps
+        order = self._order(sym, left)
         bwt = np.where(order == np.repeat(self.starts, lens + 1)[order], 0, sym[order - 1])
+        # Terminators do not match each other, so what they precede is a run of its own for the samples.
         new = np.concatenate([[True], bwt[1:] != bwt[:-1]])
         self.heads = np.flatnonzero(new)
         self.chars = bwt[self.heads]
@@ -224,10 +215,57 @@ class RunLengthIndex:
         by_char = np.argsort(self.chars, kind="stable")
         self.lf = np.zeros(len(sizes), np.int64)
         self.lf[by_char] = np.cumsum(sizes[by_char]) - sizes[by_char]  # runs of smaller symbols, then earlier runs of the same
-        self.tails = order[np.append(self.heads[1:], n) - 1]
-        cls = at_length[order]
-        self.cuts = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-        self.n = n
+        at = np.flatnonzero(new | (bwt == 0))
+        self.firsts, self.tails = order[at], order[np.maximum(at - 1, 0)]
+        match = self._extension(data, left, self.firsts, self.tails)
+        match[0] = 0  # the first suffix has none before it
+        by_place = np.argsort(self.firsts)
+        self.sampled, self.stats = self.firsts[by_place], match[by_place]
+        self.n, self.cuts = n, self._cuts(order)
+
+    @classmethod
+    def _order(cls, sym: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The suffix order, by doubling; what follows a terminator does not count, equal suffixes stay in text order."""
+        n = len(sym)
+        key = np.zeros(n, np.uint64)
+        for i in range(4):  # ranks by the first symbols
+            part = np.zeros(n, np.uint64)
+            part[: n - i] = sym[i:]
+            key = (key << np.uint64(9)) | np.where(left > i, part, 0).astype(np.uint64)
+        rank, depth, longest = cls._ranked(key), 4, int(left.max())
+        while depth < longest:
+            rank = cls._ranked(cls._pair(rank, left, depth))
+            depth *= 2
+        return np.argsort(rank, kind="stable")
+
+    @staticmethod
+    def _extension(data: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bytes that the suffixes at ``a`` and ``b`` share, eight at a time; terminators end them."""
+        words = np.lib.stride_tricks.sliding_window_view(data, 8)
+        most = np.minimum(left[a], left[b]).astype(np.int64) - 1
+        out = np.zeros(len(a), np.int64)
+        alive = np.flatnonzero(most > 0)
+        while len(alive):
+            x, y = (words[p[alive] + out[alive]] for p in (a, b))
+            same = np.ascontiguousarray(x).view(np.uint64).ravel() ^ np.ascontiguousarray(y).view(np.uint64).ravel()
+            lowest = same & (~same + np.uint64(1))  # the lowest bit that differs lies in the first byte that does
+            got = np.where(same == 0, 8, np.bitwise_count(lowest - np.uint64(1)) >> 3).astype(np.int64)
+            out[alive] = np.minimum(out[alive] + got, most[alive])
+            alive = alive[(got == 8) & (out[alive] < most[alive])]
+        return out
+
+    def statistics(self, places: np.ndarray) -> np.ndarray:
+        """Matching statistics of text positions against the suffix before each in suffix order.
+
+        They fall by one from a position to the next wherever both suffixes
+        stand in the same run, so the sample before a position gives them.
+        """
+        at = np.searchsorted(self.sampled, places, "right") - 1
+        return np.maximum(self.stats[at] - (places - self.sampled[at]), 0)
+
+    def _cuts(self, order: np.ndarray) -> np.ndarray:
+        """Rows whose matching statistic is below the length: there a class of equal windows begins."""
+        return np.flatnonzero(self.statistics(order) < self.length)
 
     @staticmethod
     def _ranked(key: np.ndarray) -> np.ndarray:
@@ -255,7 +293,7 @@ class RunLengthIndex:
 
         All phrases stream at once, from their terminators' rows towards their
         starts.  A window's class is the stretch of rows around it whose
-        neighbours match it over the whole length.
+        matching statistics reach the length.
         """
         row = np.arange(len(self.lens))  # the terminators are the least suffixes, in text order
         which = np.arange(len(self.lens))

@@ -150,6 +150,27 @@ def test_suffix_against_brute_force(spark, length, k, hot, block):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
 
 
+def test_matching_statistics():
+    """The index's statistics, rows and classes against a plain suffix order."""
+    rnd = random.Random(4)
+    for trial in range(12):
+        base = bytes(rnd.choices(b"ab\0\xff", k=60))
+        texts = [base[rnd.randrange(30) : rnd.randrange(31, 60)] + bytes(rnd.choices(b"ab", k=rnd.randrange(12))) for _ in range(15)] + [b"a" * 40, b"a" * 40]
+        index = suffix.RunLengthIndex(texts, 9)
+        places = [(t, p) for t in range(len(texts)) for p in range(len(texts[t]) + 1)]
+        plain = sorted(places, key=lambda x: (texts[x[0]][x[1] :], x))
+        flat = {x: int(index.starts[x[0]]) + x[1] for x in places}
+        for a, b in zip(plain, plain[1:]):
+            x, y = texts[a[0]][a[1] :], texts[b[0]][b[1] :]
+            shared = next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
+            assert int(index.statistics(np.array([flat[b]]))[0]) == shared
+        windows = np.array([max(0, len(t) - 8) for t in texts])
+        of = {}
+        for t, p, c in zip(*index.classes(windows)):
+            of.setdefault(int(c), set()).add(texts[t][p : p + 9])
+        assert all(len(x) == 1 for x in of.values()) and len(of) == len({x for v in of.values() for x in v})
+
+
 def test_suffix_edges(docs, empty):
     got = suffix.remove_repeats(docs).collect()
     assert len(got) == len(TEXTS) and {r.doc_id: r.n_bytes for r in got}[4] == 0
