@@ -5,6 +5,10 @@ All are built from SQL functions, so they stay inside generated code.
 
 from __future__ import annotations
 
+import functools
+import json
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +31,34 @@ DURABLE_TERMS = (
 ).split()
 GENERIC_ALIASES = ("voice", "captain", "mister", "sir", "crew", "guy", "he", "she", "they", "person")
 GENERIC_TOKENS = ("the", "your", "voice", "captain", "mister", "sir", "crew", "subject", "vessel", "protege")
-#: Letters with marks and what they fold to; letters without an ASCII base (such as sharp s) are dropped.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+# The finding's sentence, wrongly decoded marks, and headings.
+STRICT = r"(?is)^\s*In\s+scene\s+(\d+)\s*,\s*(.+?)\s+was\s+established\s*,\s*yet\s+in\s+scene\s+(\d+)\s*,\s*(.+?)\s+happens\.?\s*$"
+LENIENT = r"(?is)^\s*In\s+scene\s+(\d+)\s*,\s*(.+?)\s*,\s*yet\s+in\s+scene\s+(\d+)\s*,\s*(.+?)\.?\s*$"
+MOJIBAKE = (("â\u0080\u0099", "'"), ("â\u0080\u0098", "'"), ("â\u0080\u009c", '"'), ("â\u0080\u009d", '"'), ("â\u0080\u0094", "--"), ("â\u0080\u0093", "-"), ("Â ", " "), ("Â", ""))
+ROMAN = r"(?:m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
+ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth")
+CARDINALS = (
+    "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen",
+    "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty",
+)
+DIVISIONS = ("chapter", "book", "part", "act", "scene", "canto")
+SECTION_BREAK = r"^\s*(?:\*{3,}|\*(?:\s+\*){2,}|[-=]{3,})\s*$"
+
+#: Built from these: a division's number, and a heading line.
+ORDINAL = "|".join(ORDINALS)
+CARDINAL = "|".join((*CARDINALS, *ORDINALS))
+DIVISION = "|".join(DIVISIONS)
+HEADING = rf"(?i)^\s*(?:(?:{DIVISION})\s+(?:{ROMAN}|\d+|{CARDINAL})(?:[\s.:-]+.+)?|fit\s+the\s+(?:{ORDINAL})(?:\s+.+)?|\d+\s+[A-Z][A-Za-z0-9' -]{{2,80}}|{ROMAN})\.?\s*$"
+
+@functools.cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition holds one ASCII character, and those with several; all that have one lie below U+20000."""
+    one, several = {}, {}
+    for c in range(0x80, 0x20000):
+        plain = unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() if not 0xD800 <= c <= 0xDFFF else ""
+        if plain:
+            (one if len(plain) == 1 else several)[chr(c)] = plain
+    return one, several
 
 
 def strings(values) -> Column:
@@ -37,8 +66,14 @@ def strings(values) -> Column:
 
 
 def fold(col: Column) -> Column:
-    """ASCII fold: marks are dropped, then every character that is still not ASCII."""
-    return F.regexp_replace(F.translate(F.coalesce(col, F.lit("")), MARKED, PLAIN), r"[^\x00-\x7F]", "")
+    """ASCII fold: characters are decomposed (compatibility forms too), then marks and all else that is not ASCII are dropped."""
+    one, several = _folds()
+    text = F.coalesce(col, F.lit(""))
+    spelled = F.from_json(F.lit(json.dumps(several)), "map<string, string>")
+    apart = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")
+    wide = F.when(text.rlike("[" + "".join(several) + "]"), apart).otherwise(text)
+    folded = F.regexp_replace(F.translate(wide, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
 def ascii_tokens(col: Column) -> Column:
@@ -165,10 +200,6 @@ def render_finding(x: Column, fact: Column, y: Column, event: Column) -> Column:
     return F.when(ok, F.concat(F.lit("In scene "), x, F.lit(", "), fact, F.lit(" was established, yet in scene "), y, F.lit(", "), event, F.lit(" happens"))).otherwise("")
 
 
-STRICT = r"(?is)^\s*In\s+scene\s+(\d+)\s*,\s*(.+?)\s+was\s+established\s*,\s*yet\s+in\s+scene\s+(\d+)\s*,\s*(.+?)\s+happens\.?\s*$"
-LENIENT = r"(?is)^\s*In\s+scene\s+(\d+)\s*,\s*(.+?)\s*,\s*yet\s+in\s+scene\s+(\d+)\s*,\s*(.+?)\.?\s*$"
-
-
 def parse_finding(col: Column) -> Column:
     """struct(x, fact, y, event), by the strict template, else the lenient one; null where neither fits."""
     def part(pattern: str, i: int) -> Column:
@@ -184,9 +215,6 @@ def parse_finding(col: Column) -> Column:
         col.rlike(LENIENT) & (fact != "") & (event != ""), found(LENIENT, fact, event))
 
 
-MOJIBAKE = (("â\u0080\u0099", "'"), ("â\u0080\u0098", "'"), ("â\u0080\u009c", '"'), ("â\u0080\u009d", '"'), ("â\u0080\u0094", "--"), ("â\u0080\u0093", "-"), ("Â ", " "), ("Â", ""))
-
-
 def fix_encoding(col: Column) -> Column:
     """Line ends to line feeds, byte-order marks dropped, common wrongly decoded marks repaired."""
     out = F.replace(F.replace(F.replace(col, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit("﻿"), F.lit(""))
@@ -207,10 +235,3 @@ def cache_key(*parts: Column) -> Column:
 
 def pct_removed(cleaned: Column, raw: Column) -> Column:
     return F.when(raw > 0, F.round((1 - cleaned / raw) * 100, 2)).otherwise(F.lit(0.0))
-
-
-ROMAN = r"(?:m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
-ORDINAL = "first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth"
-CARDINAL = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|" + ORDINAL
-HEADING = rf"(?i)^\s*(?:(?:chapter|book|part|act|scene|canto)\s+(?:{ROMAN}|\d+|{CARDINAL})(?:[\s.:-]+.+)?|fit\s+the\s+(?:{ORDINAL})(?:\s+.+)?|\d+\s+[A-Z][A-Za-z0-9' -]{{2,80}}|{ROMAN})\.?\s*$"
-SECTION_BREAK = r"^\s*(?:\*{3,}|\*(?:\s+\*){2,}|[-=]{3,})\s*$"

@@ -83,6 +83,13 @@ def first_participants(events: DataFrame, entities: DataFrame, by: str) -> DataF
     return named.withColumn("r", F.row_number().over(w)).filter("r = 1").select(by, "event_id", "entity_id")
 
 
+def cover_events(bare: DataFrame, entities: DataFrame, by: str, confidence: float = 0.6) -> DataFrame:
+    """(by, source, relation, target, evidence, confidence): a performs edge for each event of ``bare``(by, event_id, participants, evidence) from its first known participant."""
+    found = first_participants(bare, entities, by)
+    return found.join(bare.select(by, "event_id", "evidence"), [by, "event_id"]).select(
+        by, F.col("entity_id").alias("source"), F.lit("performs").alias("relation"), F.col("event_id").alias("target"), "evidence", F.lit(confidence).alias("confidence"))
+
+
 def role_sane(relation: Column, event_id: Column, linked: Column, participants: Column, name: Column) -> Column:
     """A role edge whose entity names linked events needs this event among them or itself among the participants; others pass."""
     tied = F.array_contains(linked, event_id) | F.exists(participants, lambda p: tokens_within(p, name))

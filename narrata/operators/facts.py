@@ -61,7 +61,7 @@ def candidate_facts(nodes: DataFrame, edges: DataFrame, attributes: DataFrame, m
     n = nodes.filter(~F.col("type").isin("Location", "TimePoint") & text.is_durable(t)).select("story_id", "scene_no", F.lit(1).alias("class"), "pos", F.lower("type").alias("kind"), t.alias("text"), "name")
     names = nodes.select("story_id", "scene_no", "id", "name")
     s, g = names.toDF("story_id", "scene_no", "source", "source_name"), names.toDF("story_id", "scene_no", "target", "target_name")
-    e = edges.filter(~F.col("relation").isin(*schema.TRANSIENT)).join(s, ["story_id", "scene_no", "source"], "left").join(g, ["story_id", "scene_no", "target"], "left")
+    e = edges.drop("source_name", "target_name").filter(~F.col("relation").isin(*schema.TRANSIENT)).join(s, ["story_id", "scene_no", "source"], "left").join(g, ["story_id", "scene_no", "target"], "left")
     line = edge_text(F.coalesce("source_name", "source"), F.col("relation"), F.coalesce("target_name", "target"))
     r = e.filter(text.is_durable(line)).select("story_id", "scene_no", F.lit(2).alias("class"), "pos", F.lit("relation").alias("kind"), line.alias("text"), line.alias("name"))
     rows = a.unionByName(n).unionByName(r)
@@ -78,7 +78,7 @@ def prior_summary(nodes: DataFrame, edges: DataFrame, attributes: DataFrame) ->
         "story_id", "scene_no", F.lit(0).alias("class"), "pos", F.concat(tag, F.lit("["), F.lower("type"), F.lit("] "), t).alias("line"))
     names = nodes.select("story_id", "scene_no", "id", "name")
     s, g = names.toDF("story_id", "scene_no", "source", "source_name"), names.toDF("story_id", "scene_no", "target", "target_name")
-    e = edges.filter(~F.col("relation").isin(*schema.TRANSIENT)).join(s, ["story_id", "scene_no", "source"], "left").join(g, ["story_id", "scene_no", "target"], "left")
+    e = edges.drop("source_name", "target_name").filter(~F.col("relation").isin(*schema.TRANSIENT)).join(s, ["story_id", "scene_no", "source"], "left").join(g, ["story_id", "scene_no", "target"], "left")
     r = e.select("story_id", "scene_no", F.lit(1).alias("class"), "pos", F.concat(tag, edge_text(F.coalesce("source_name", "source"), F.col("relation"), F.coalesce("target_name", "target"))).alias("line"))
     a = attributes.select("story_id", "scene_no", F.lit(2).alias("class"), "pos", F.concat(tag, F.lit("[attr] "), F.col("entity"), F.lit("."), F.col("attr"), F.lit(" = "), F.col("value")).alias("line"))
     rows = n.unionByName(r).unionByName(a).groupBy("story_id", "scene_no").agg(F.array_sort(F.collect_list(F.struct("class", "pos", "line"))).alias("l"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from narrata import schema
 from narrata.functions import text
-from narrata.shipping import shared_base
+from narrata.shipping import cut
 
 
 def typed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -34,9 +34,9 @@ def violations(typed: DataFrame) -> DataFrame:
 
 
 def dedupe_edges(edges: DataFrame) -> DataFrame:
-    """One edge per (source, relation, target): evidence united and sorted, the greatest confidence."""
-    return edges.groupBy("source", "relation", "target").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"), F.max("confidence").alias("confidence"))
+    """One edge per (source, relation, target): evidence (and scene_refs, where there) united and sorted, the greatest confidence."""
+    united = [_united(c) for c in ("scene_refs",) if c in edges.columns]
+    return edges.groupBy("source", "relation", "target").agg(_united("evidence"), F.max("confidence").alias("confidence"), *united)
 
 
 def reverse_edges(edges: DataFrame) -> DataFrame:
@@ -54,29 +54,36 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def repair_relations(typed: DataFrame) -> DataFrame:
     """Raw relations made valid: before and after become precedes (after turns the ends), caused_by turns into causes;
-    an invalid relation is replaced where its types allow exactly one, else the edge goes.
+    an invalid relation is replaced where its types allow exactly one, else the edge goes.  Other columns are carried.
     """
+    ends = ("source", "relation", "target", "source_type", "target_type")
+    rest = [c for c in typed.columns if c not in ends]
     turned = F.col("relation").isin("after", "caused_by")
     swapped = typed.select(
         F.when(turned, F.col("target")).otherwise(F.col("source")).alias("source"),
         F.when(F.col("relation").isin("before", "after"), "precedes").when(F.col("relation") == "caused_by", "causes").otherwise(F.col("relation")).alias("relation"),
         F.when(turned, F.col("source")).otherwise(F.col("target")).alias("target"),
         F.when(turned, F.col("target_type")).otherwise(F.col("source_type")).alias("source_type"),
-        F.when(turned, F.col("source_type")).otherwise(F.col("target_type")).alias("target_type"))
+        F.when(turned, F.col("source_type")).otherwise(F.col("target_type")).alias("target_type"), *rest)
     known = schema.triples(typed.sparkSession)
     only = known.groupBy("source_type", "target_type").agg(F.count("*").alias("n"), F.min("relation").alias("one")).filter("n = 1").drop("n")
     marked = swapped.join(F.broadcast(known.withColumn("ok", F.lit(True))), ["source_type", "relation", "target_type"], "left").join(F.broadcast(only), ["source_type", "target_type"], "left")
     return marked.withColumn("repaired", F.when(F.col("ok"), F.col("relation")).otherwise(F.col("one"))).filter("repaired is not null").select(
-        "source", F.col("repaired").alias("relation"), "target", "source_type", "target_type")
+        "source", F.col("repaired").alias("relation"), "target", "source_type", "target_type", *rest)
+
+
+def _united(col: str):
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(col)))).alias(col)
 
 
 def merge_nodes(nodes: DataFrame, key: str = "key", order: str = "pos") -> DataFrame:
-    """One node per key: first name, united sorted arrays, longest description (the earliest of equals)."""
+    """One node per key: first name, united sorted arrays (scene_refs and evidence, where there), longest description (the earliest of equals)."""
     first = F.struct(F.col(order))
+    united = [_united(c) for c in ("scene_refs", "evidence") if c in nodes.columns]
     return nodes.groupBy(key).agg(
         F.min_by("id", first).alias("id"), F.min_by("name", first).alias("name"),
         F.array_sort(F.collect_set("name")).alias("aliases"),
-        F.max_by("description", F.struct(F.length("description"), -F.col(order))).alias("description"), F.count("*").alias("merged"))
+        F.max_by("description", F.struct(F.length("description"), -F.col(order))).alias("description"), F.count("*").alias("merged"), *united)
 
 
 def resolve_ids(raw: DataFrame) -> DataFrame:
@@ -106,12 +113,17 @@ def uncovered_events(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.filter("type = 'Event'").join(covered, "id", "left_anti")
 
 
+def scene_subgraphs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The subgraphs of all scenes at once, as (scene, id) and (scene, edge...): a scene's nodes and edges, and the ends of its edges."""
+    own = edges.withColumn("scene", F.explode("scene_refs"))
+    ends = own.select("scene", F.explode(F.array("source", "target")).alias("id"))
+    return nodes.select(F.explode("scene_refs").alias("scene"), "id").union(ends).distinct(), own
+
+
 def scene_subgraph(nodes: DataFrame, edges: DataFrame, scene: str) -> tuple[DataFrame, DataFrame]:
-    """The nodes and edges of a scene, and the ends of its edges."""
-    own = edges.filter(F.array_contains("scene_refs", scene))
-    ends = own.select(F.explode(F.array("source", "target")).alias("id"))
-    ids = nodes.filter(F.array_contains("scene_refs", scene)).select("id").union(ends).distinct()
-    return nodes.join(ids, "id", "left_semi"), own
+    """The nodes and edges of one scene, and the ends of its edges."""
+    ids, own = scene_subgraphs(nodes, edges)
+    return nodes.join(ids.filter(F.col("scene") == scene), "id", "left_semi"), own.filter(F.col("scene") == scene).drop("scene")
 
 
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -121,35 +133,50 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     the rounds grow with the logarithm of the longest path.  Each round is
     checkpointed to spark.checkpoint.dir.
     """
-    spark = nodes.sparkSession
-    _checkpoint_dir(spark)
-    both = edges.select("source", "target").union(edges.select("target", "source")).distinct().toDF("a", "b").checkpoint()
-    labels = nodes.select("id", F.col("id").alias("root")).checkpoint()
+    both = cut(edges.select("source", "target").union(edges.select("target", "source")).distinct().toDF("a", "b"))
+    labels = cut(nodes.select("id", F.col("id").alias("root")))
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
         best = labels.join(near, "id", "left").select("id", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         up = labels.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        new = best.join(up, "root", "left").select("id", "old", F.least("root", "above").alias("root")).checkpoint()
+        new = cut(best.join(up, "root", "left").select("id", "old", F.least("root", "above").alias("root")))
         labels = new.select("id", "root")
         if new.filter("old <> root").isEmpty():
             return labels
     raise RuntimeError("components did not converge")
 
 
-def _checkpoint_dir(spark) -> None:
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_base(spark))
-
-
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(metric, key, value): counts by type and relation, coverage, violations, degree, as one long table."""
-    typed = typed_edges(edges, nodes)
-    n = nodes.groupBy(F.lit("nodes_by_type").alias("metric"), F.coalesce("type", F.lit("UNKNOWN")).alias("key")).agg(F.count("*").cast("double").alias("value"))
-    e = edges.groupBy(F.lit("edges_by_relation").alias("metric"), F.coalesce("relation", F.lit("UNKNOWN")).alias("key")).agg(F.count("*").cast("double").alias("value"))
-    v = violations(typed).agg(F.count("*").cast("double").alias("value")).select(F.lit("schema_violations").alias("metric"), F.lit("all").alias("key"), "value")
-    c = edges.agg(F.round(100 * F.avg((F.size("evidence") > 0).cast("double")), 1).alias("value")).select(F.lit("evidence_coverage").alias("metric"), F.lit("edges").alias("key"), "value")
-    f = edges.agg(F.round(F.avg("confidence"), 3).alias("value")).select(F.lit("avg_confidence").alias("metric"), F.lit("edges").alias("key"), "value")
-    return n.unionByName(e).unionByName(v).unionByName(c).unionByName(f)
+    """(metric, key, value): counts by type and relation (most frequent first within a metric), violations, evidence
+    coverage, confidence over the edges that have one, average degree and, where nodes have them, aliases.
+
+    Edges are typed and aggregated once, by relation; what is said about all of
+    them is summed from there.
+    """
+    known = F.broadcast(schema.triples(nodes.sparkSession).withColumn("valid", F.lit(True)))
+    typed = typed_edges(edges, nodes).join(known, ["source_type", "relation", "target_type"], "left")
+    wrong = F.col("source_type").isNotNull() & F.col("target_type").isNotNull() & F.col("valid").isNull()
+    e = typed.groupBy(F.coalesce("relation", F.lit("UNKNOWN")).alias("key")).agg(
+        F.count("*").alias("n"), F.count_if(wrong).alias("wrong"), F.count_if(F.size("evidence") > 0).alias("shown"), F.count("confidence").alias("sure"), F.sum("confidence").alias("confidence"))
+    aliases = F.sum(F.size("aliases")) if "aliases" in nodes.columns else F.lit(None).cast("long")
+    n = nodes.groupBy(F.coalesce("type", F.lit("UNKNOWN")).alias("key")).agg(F.count("*").alias("n"), aliases.alias("aliases"))
+    rows = n.select(F.lit("node").alias("of"), "key", "n", "aliases", *[F.lit(None).cast(t).alias(c) for c, t in (("wrong", "long"), ("shown", "long"), ("sure", "long"), ("confidence", "double"))]).unionByName(
+        e.select(F.lit("edge").alias("of"), "key", "n", F.lit(None).cast("long").alias("aliases"), "wrong", "shown", "sure", "confidence"))
+    # A row per type and relation is left: the sums of all and the rows themselves, as one list.
+    node, edge = (F.sum(F.when(F.col("of") == x, F.col("n"))) for x in ("node", "edge"))
+    metric = lambda name, key, value: F.struct(F.lit(name).alias("metric"), F.lit(key).alias("key"), value.cast("double").alias("value"))
+    by = F.struct(F.when(F.col("of") == "node", "nodes_by_type").otherwise("edges_by_relation").alias("metric"), F.col("key").alias("key"), F.col("n").cast("double").alias("value"))
+    all_ = rows.agg(
+        F.collect_list(by).alias("by"),
+        F.array(
+            metric("schema_violations", "all", F.coalesce(F.sum("wrong"), F.lit(0))),
+            metric("evidence_coverage", "edges", F.round(F.try_divide(100.0 * F.sum("shown"), edge), 1)),
+            metric("avg_confidence", "edges", F.round(F.try_divide(F.sum("confidence"), F.sum("sure")), 3)),
+            metric("avg_degree", "nodes", F.round(F.try_divide(2.0 * edge, node), 2)),
+            *([metric("avg_aliases", "nodes", F.round(F.try_divide(F.sum("aliases") * 1.0, node), 2))] if "aliases" in nodes.columns else [])).alias("all"))
+    ordered = F.array_sort("by", lambda x, y: F.when(x["metric"] != y["metric"], F.when(x["metric"] < y["metric"], -1).otherwise(1)).when(x["value"] != y["value"], F.when(x["value"] > y["value"], -1).otherwise(1)).otherwise(
+        F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)))
+    return all_.select(F.inline(F.concat(ordered, "all")))
 
 
 def next_of(df: DataFrame, by: str, order: list, value: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from narrata.functions import text
 from narrata.operators import similarity
+from narrata.shipping import cut
 
 
 def apply_renames(nodes: DataFrame, renames: DataFrame) -> DataFrame:
@@ -25,47 +26,37 @@ def exact_key(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("key", text.norm_resolution(F.col("name"), F.col("type")))
 
 
-def _joins(short: list[str], long: list[str]) -> bool:
-    if len(short) == 1:
-        return len(long) >= 2 and long[0] == short[0]
-    return len(short) >= 2 and len(long) >= 2 and (short[0], short[-1]) == (long[0], long[-1])
-
-
-def prefix_merges(names: list[list[str]]) -> dict[int, int]:
-    """Index of a character's name -> the fuller one it goes into, decided in order.
-
-    One token joins a longer name that begins with it; longer ones need the
-    same first and last token.  A merged name is not tried again.
-    """
-    gone: dict[int, int] = {}
-    for i, a in enumerate(names):
-        if i in gone or not a:
-            continue
-        for j in range(i + 1, len(names)):
-            b = names[j]
-            if j in gone or not b:
-                continue
-            s, l = (j, i) if len(b) < len(a) else (i, j)
-            if _joins(names[s], names[l]):
-                gone[s] = l
-    return gone
-
-
 def merge_prefixes(nodes: DataFrame) -> DataFrame:
-    """(story_id, id, into): character nodes with the fuller node they merge into; order is by ``pos``.
-
-    Names can only join where their first tokens agree, so the sequential part
-    runs per story and first token.
+    """(story_id, id, into): character nodes with the fuller node they merge into.
+
+    A name of one token goes into a longer one that begins with it; longer names
+    go into those of the same first and last token that are at least as long.
+    The pairs that may merge come from a join on the first token; a fold over a
+    story's pairs, in the order of ``pos``, then decides: a name that has merged
+    neither merges nor takes again, though one that merges as the earlier of a
+    pair goes on to the last fuller name it meets.
     """
-    rows = nodes.filter("type = 'Character'").withColumn("tokens", F.split(text.norm_resolution(F.col("name"), F.col("type")), " ")).withColumn("head", F.element_at("tokens", 1))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        ids, gone = table["id"].to_pylist(), prefix_merges([[t for t in x if t] for x in table["tokens"].to_pylist()])
-        picked = sorted(gone)
-        return pa.table([pa.array([table["story_id"][0].as_py()] * len(picked), pa.string()), pa.array([ids[i] for i in picked], pa.string()), pa.array([ids[gone[i]] for i in picked], pa.string())], ["story_id", "id", "into"])
-
-    return rows.select("story_id", "head", "id", "pos", "tokens").groupBy("story_id", "head").applyInArrow(run, "story_id string, id string, into string")
+    tokens = F.filter(F.split(text.norm_resolution(F.col("name"), F.col("type")), " "), lambda t: t != "")
+    rows = nodes.filter("type = 'Character'").withColumn("tokens", tokens).filter("size(tokens) > 0").select(
+        "story_id", "id", "pos", F.element_at("tokens", 1).alias("head"), F.element_at("tokens", -1).alias("last"), F.size("tokens").alias("n"))
+    a, b = (rows.select("story_id", "head", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "pos", "last", "n")]) for side in "ab")
+    pairs = a.join(b, ["story_id", "head"]).filter("pos_a < pos_b")
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    pairs = pairs.filter(((least == 1) & (most > 1)) | ((least > 1) & (F.col("last_a") == F.col("last_b"))))
+    second = F.col("n_b") < F.col("n_a")  # the later name is the shorter one
+    pair = F.struct("pos_a", "pos_b", "id_a", "id_b", second.alias("second"))
+    start = F.struct(F.expr("cast(map() as map<string, string>)").alias("gone"), F.lit(None).cast("string").alias("at"), F.lit(True).alias("open"))
+
+    def step(s, p):
+        fresh = ~s["at"].eqNullSafe(p["id_a"])
+        open_ = F.when(fresh, ~F.map_contains_key(s["gone"], p["id_a"])).otherwise(s["open"])  # a name's turn is decided where it begins
+        short, long = F.when(p["second"], p["id_b"]).otherwise(p["id_a"]), F.when(p["second"], p["id_a"]).otherwise(p["id_b"])
+        merged = F.map_concat(F.map_filter(s["gone"], lambda k, _: k != short), F.create_map(short, long))
+        takes = open_ & ~F.map_contains_key(s["gone"], p["id_b"])
+        return F.struct(F.when(takes, merged).otherwise(s["gone"]).alias("gone"), p["id_a"].alias("at"), open_.alias("open"))
+
+    folded = pairs.groupBy("story_id", "head").agg(F.array_sort(F.collect_list(pair)).alias("p"))
+    return folded.select("story_id", F.explode(F.aggregate("p", start, step)["gone"]).alias("id", "into"))
 
 
 def apply_merges(nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -157,15 +148,38 @@ def adjudicated(clusters: DataFrame, provider) -> DataFrame:
     return shown.mapInArrow(run, "story_id string, cluster string, id string, pos long, canonical_name string")
 
 
-def resolve_nodes(nodes: DataFrame, renames: DataFrame, provider) -> DataFrame:
-    """All steps over nodes(story_id, type, id, pos, name, description): renames, exact keys, name prefixes, adjudicated clusters."""
-    named = exact_key(apply_renames(nodes, renames))
+def _followed(ids: DataFrame, moves: DataFrame, hops: int = 3) -> DataFrame:
+    """ids(story_id, raw_id, id) after moves(story_id, id, into), which chain a little: a name's fuller name may have a fuller one."""
+    out = ids
+    for _ in range(hops):
+        out = out.join(moves, ["story_id", "id"], "left").select("story_id", "raw_id", F.coalesce("into", "id").alias("id"))
+    return out
+
+
+def resolution(nodes: DataFrame, renames: DataFrame, provider) -> tuple[DataFrame, DataFrame]:
+    """All steps over nodes(story_id, type, id, pos, name, description): renames, exact keys, name prefixes, adjudicated clusters.
+
+    Gives the nodes that are left, with aliases, and (story_id, raw_id, id): the
+    node that each of the given ones went into.
+    """
+    named = cut(exact_key(apply_renames(nodes, renames)))
     exact = named.groupBy("story_id", "type", "key").agg(
         F.min_by("id", "pos").alias("id"), F.min_by("name", "pos").alias("name"), F.min("pos").alias("pos"),
         F.max_by("description", F.struct(F.length("description"), -F.col("pos"))).alias("description"), F.array_sort(F.collect_set("name")).alias("aliases"))
-    short = merge_prefixes(exact)
+    exact = cut(exact)
+    went = named.select("story_id", "type", "key", F.col("id").alias("raw_id")).join(exact.select("story_id", "type", "key", "id"), ["story_id", "type", "key"]).select("story_id", "raw_id", "id")
+    short = cut(merge_prefixes(exact))
+    went = _followed(went, short)
     names = exact.select("story_id", "id", F.col("name").alias("gone"))
     gained = short.join(names, ["story_id", "id"]).groupBy("story_id", F.col("into").alias("id")).agg(F.collect_set("gone").alias("more"))
     out = exact.join(short.select("story_id", "id"), ["story_id", "id"], "left_anti").join(gained, ["story_id", "id"], "left")
     out = out.withColumn("aliases", F.array_sort(F.array_union("aliases", F.coalesce("more", F.array().cast("array<string>"))))).drop("more")
-    return apply_merges(out, adjudicated(candidate_clusters(out), provider))
+    out = cut(out)
+    members = cut(adjudicated(candidate_clusters(out), provider))
+    first = members.groupBy("story_id", "cluster").agg(F.min_by("id", "pos").alias("into"))
+    return apply_merges(out, members), _followed(went, members.join(first, ["story_id", "cluster"]).filter("id <> into").select("story_id", "id", "into"), 1)
+
+
+def resolve_nodes(nodes: DataFrame, renames: DataFrame, provider) -> DataFrame:
+    """The nodes that ``resolution`` leaves."""
+    return resolution(nodes, renames, provider)[0]

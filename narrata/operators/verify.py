@@ -11,16 +11,19 @@ from narrata.functions import text
 def grounded(quote: Column, scene: Column, least: float = 0.30, least_tokens: int = 3) -> Column:
     """A quote stands in a scene: as a substring, or some window of its length has a token Jaccard of ``least``.
 
-    Quotes of under ``least_tokens`` tokens need the substring.  The windows run
-    in one higher-order expression; the substring test comes first.
+    Quotes of under ``least_tokens`` tokens need the substring.  The tokens are
+    found once, in a one-element array that the windows run over; the substring
+    test comes first.
     """
-    q, s = text.ascii_tokens(quote), text.ascii_tokens(scene)
-    window = F.greatest(F.size(q), F.lit(4))
-    distinct = F.array_distinct(q)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s) - window + 1))
-    near = F.exists(starts, lambda i: _at_least(distinct, F.array_distinct(F.slice(s, i, window)), least))
+    def near(t):
+        window = F.greatest(F.size(t["q"]), F.lit(4))
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t["s"]) - window + 1))
+        return (F.size(t["q"]) >= least_tokens) & (F.size(t["s"]) > 0) & F.exists(starts, lambda i: _at_least(t["d"], F.array_distinct(F.slice(t["s"], i, window)), least))
+
+    q = text.ascii_tokens(quote)
+    tokens = F.array(F.struct(q.alias("q"), F.array_distinct(q).alias("d"), text.ascii_tokens(scene).alias("s")))
     empty = (F.coalesce(quote, F.lit("")) == "") | (F.coalesce(scene, F.lit("")) == "")
-    return F.when(empty, F.lit(False)).when(F.lower(scene).contains(F.lower(quote)), F.lit(True)).when((F.size(q) < least_tokens) | (F.size(s) == 0), F.lit(False)).otherwise(near)
+    return F.when(empty, F.lit(False)).when(F.lower(scene).contains(F.lower(quote)), F.lit(True)).otherwise(F.element_at(F.transform(tokens, near), 1))
 
 
 def _at_least(a: Column, b: Column, least: float) -> Column:

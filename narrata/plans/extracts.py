@@ -96,7 +96,12 @@ def offset_scene(spark, d):
     return extraction.scene_at(offsets, scenes, "doc_id", "off").select("doc_id", "off", "scene_no")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, strftime(ts, '%Y-%m-%d') AS day, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r(user_id, i, event_id, day, event_type, days, types, kept) AS (SELECT DISTINCT user_id, 0::BIGINT, 0::BIGINT, '', '', []::VARCHAR[], []::VARCHAR[], false FROM e
+  UNION ALL SELECT e.user_id, e.i, e.event_id, e.day, e.event_type, CASE WHEN list_contains(days, e.day) OR list_contains(types, e.event_type) THEN days ELSE list_append(days, e.day) END,
+    CASE WHEN list_contains(days, e.day) OR list_contains(types, e.event_type) THEN types ELSE list_append(types, e.event_type) END, NOT (list_contains(days, e.day) OR list_contains(types, e.event_type))
+  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, event_id, day, event_type FROM r WHERE kept""")
 def kept_first(spark, d):
     """Events kept in order while neither their day nor their type was taken by a kept one."""
     e = table(spark, d, "events").select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
@@ -112,12 +117,18 @@ def resolve_exact(spark, d):
     return resolve.exact_key(n).groupBy("story_id", "key").agg(F.min_by("id", "pos").alias("id"), F.count("*").alias("merged"))
 
 
-@query()
+@query("""WITH n AS (SELECT c_nationkey AS nation, 'Ada' || (c_custkey % 50) AS head, c_custkey AS k, c_custkey % 3 = 0 AS short FROM customer),
+f AS (SELECT nation, head, min(k) FILTER (NOT short) AS first, max(k) FILTER (NOT short) AS last FROM n GROUP BY ALL)
+SELECT nation::VARCHAR AS story_id, 'c' || k AS id, 'c' || CASE WHEN k < first THEN last ELSE first END AS "into" FROM n JOIN f USING (nation, head) WHERE short AND first IS NOT NULL""")
 def prefix_merge(spark, d):
-    """Characters with the first half or the whole of a customer's name, merged per nation."""
+    """Characters of one token, and of two with a last one of their own, per nation: the short ones go into fuller ones.
+
+    What comes before all fuller names goes into the last of them, as its turn
+    meets them all; what comes after the first of them goes into that one.
+    """
     c = table(spark, d, "customer")
     base = F.concat(F.lit("Ada"), (F.col("c_custkey") % 50).cast("string"))
-    name = F.when(F.col("c_custkey") % 2 == 0, base).otherwise(F.concat(base, F.lit(" "), F.regexp_replace("c_name", "[^A-Za-z0-9]", "")))
+    name = F.when(F.col("c_custkey") % 3 == 0, base).otherwise(F.concat(base, F.lit(" "), F.regexp_replace("c_name", "[^A-Za-z0-9]", "")))
     n = c.select(F.col("c_nationkey").cast("string").alias("story_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_custkey").alias("pos"), name.alias("name"), F.lit("Character").alias("type"))
     return resolve.merge_prefixes(n)
 
@@ -139,8 +150,7 @@ def insertion_targets(spark, d):
     return n.withColumn("target", corpus.target_insertions(F.col("scenes"), F.lit("5k"), half_up=True))
 
 
-@query("SELECT conv_id, turn, (turn > (count(*) OVER (PARTITION BY conv_id)) / 2 AND NOT regexp_matches(lower(text), 'act|told|know|learn')) AS distance_only FROM conversations")
+@query(f"SELECT conv_id, turn, (turn > (count(*) OVER (PARTITION BY conv_id)) / 2 AND NOT regexp_matches(lower(text), '{'|'.join(corpus.MOTIVES)}')) AS distance_only FROM conversations")
 def hard_by_distance(spark, d):
     total = F.count("*").over(Window.partitionBy("conv_id"))
-    few = F.col("turn") > total / 2
-    return table(spark, d, "conversations").select("conv_id", "turn", (few & ~F.lower("text").rlike("act|told|know|learn")).alias("distance_only"))
+    return table(spark, d, "conversations").select("conv_id", "turn", corpus.distance_only_hard(F.lit("hard"), F.col("turn"), total, F.col("text")).alias("distance_only"))

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from narrata import schema
 from narrata.functions import jsonfix, text
-from narrata.operators import corpus, facts, graph, score, verify
+from narrata.operators import corpus, extraction, facts, graph, resolve, score, verify
+from narrata.shipping import cut
 
-from .providers import Provider, answer
+from .providers import Failures, Provider, answer
 
 BATCH = 12
 
@@ -43,70 +44,154 @@ class _Judge(Provider):
         return json.dumps(value if isinstance(value, list) and value else findings_in(raw))
 
 
+def not_held(keyed: DataFrame, cache: DataFrame) -> DataFrame:
+    """Requests whose key the cache does not hold."""
+    return keyed.join(cache.select("cache_key"), "cache_key", "left_anti")
+
+
 def ask(rows: DataFrame, stage: str, provider: Provider, hint: str = "", cache: DataFrame | None = None) -> DataFrame:
     """Adds ``answer`` (JSON or null) to (story_id, scene_no, chunk_id, body): cached answers first, blank bodies never asked."""
     keyed = rows.filter(F.col("body").rlike(r"\S")).withColumn("cache_key", text.cache_key(F.lit(stage), F.lit(provider.model_id), F.col("body")))
-    todo = keyed if cache is None else keyed.join(cache.select("cache_key"), "cache_key", "left_anti")
+    todo = keyed if cache is None else not_held(keyed, cache)
 
     def run(batches):
+        failures = Failures()
         for batch in batches:
-            out = [None if (v := answer(provider, stage, b, hint)) is None else json.dumps(v) for b in batch.column("body").to_pylist()]
+            out = [None if (v := answer(provider, stage, b, hint, failures)) is None else json.dumps(v) for b in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "answer"])
 
     types = ", ".join(f"{n} {t}" for n, t in keyed.dtypes)
-    asked = todo.select(*keyed.columns).mapInArrow(run, types + ", answer string")
+    asked = cut(todo.select(*keyed.columns).mapInArrow(run, types + ", answer string"))  # a request is sent once
     if cache is None:
         return asked
     return asked.unionByName(keyed.join(cache.select("cache_key", "answer"), "cache_key").select(*asked.columns))
 
 
+def contents(scenes: DataFrame) -> DataFrame:
+    """(story_id, scene_no, chunk, content): the chunks that scenes come with, which extraction then reads."""
+    return scenes.select("story_id", "scene_no", F.explode("chunks").alias("c")).select("story_id", "scene_no", F.col("c.id").alias("chunk"), F.col("c.content").alias("content"))
+
+
 def chunks_of(scenes: DataFrame) -> DataFrame:
-    """(story_id, scene_no, chunk_id, body) of scenes(story_id, scene_no, content), cut where a chunk is too long."""
-    base = scenes.withColumn("chunk", F.concat_ws("_", F.lit("chunk"), F.col("scene_no").cast("string")))
+    """(story_id, scene_no, chunk_id, body) of scenes(story_id, scene_no, content), or of their ``chunk``s, cut where one is too long."""
+    base = scenes if "chunk" in scenes.columns else scenes.withColumn("chunk", F.concat_ws("_", F.lit("chunk"), F.col("scene_no").cast("string")))
     cut = corpus.chunk_windows(base, "content", "chunk")
     return cut.select("story_id", "scene_no", F.col("window_id").alias("chunk_id"), F.col("window").alias("body"))
 
 
 EVENT = "array<struct<temp_id: string, name: string, description: string, evidence: array<string>, participants: array<string>>>"
-ENTITY = "array<struct<temp_id: string, type: string, canonical_name: string, surface_forms: array<string>, description: string, evidence: array<string>>>"
+ENTITY = "array<struct<temp_id: string, type: string, canonical_name: string, surface_forms: array<string>, description: string, evidence: array<string>, linked_events: array<string>>>"
 RELATION = "array<struct<source_id: string, relation: string, target_id: string, evidence: array<string>, confidence: double>>"
 KEYS = ["story_id", "scene_no", "chunk_id"]
+#: Items that a request shows, at most: events to the entity step, events and entities to the relation step (a feature of the prompts).
+SHOWN = {"entities": 20, "events": 40, "relations": 60}
+#: Confidence of an edge that is made for an event nobody takes part in by the relations found.
+COVERED = 0.6
 
 
 def _rows(answers: DataFrame, kind: str) -> DataFrame:
     return answers.select(*KEYS, F.posexplode(F.from_json("answer", kind)).alias("pos", "x")).select(*KEYS, "pos", "x.*")
 
 
-def extract(scenes: DataFrame, provider: Provider, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Raw events, entities and relations of all chunks."""
+def _shown(chunks: DataFrame, found: DataFrame, head: str, most: int, name: str) -> DataFrame:
+    """Chunks whose bodies end with what was found in them, or else in their scene: at most ``most`` lines of id and name."""
+    line = F.struct("pos", F.concat_ws("\t", "temp_id", name).alias("line"))
+    own = found.groupBy(*KEYS).agg(F.array_sort(F.collect_list(line)).alias("own"))
+    whole = found.groupBy("story_id", "scene_no").agg(F.array_sort(F.collect_list(line)).alias("whole"))
+    rows = chunks.join(own, KEYS, "left").join(whole, ["story_id", "scene_no"], "left")
+    lines = F.transform(F.slice(F.coalesce("own", "whole", F.expr("array()")), 1, most), lambda x: x["line"])
+    return rows.withColumn("body", F.when(F.size(lines) > 0, F.concat_ws("\n", "body", F.lit(f"\n{head}:"), F.array_join(lines, "\n"))).otherwise(F.col("body"))).drop("own", "whole")
+
+
+def extract(scenes: DataFrame, provider: Provider, cache: DataFrame | None = None, show: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw events, entities and relations of all chunks.
+
+    With ``show``, the request for entities lists the events found, and that for
+    relations both: the anchors that a language model needs.
+    """
     chunks = chunks_of(scenes)
     events = _rows(ask(chunks, "events", provider, "event_list", cache), EVENT)
-    entities = _rows(ask(chunks, "entities", provider, "entity_list", cache), ENTITY).filter(F.col("type").isin(*schema.ENTITY_TYPES))
-    relations = _rows(ask(chunks, "relations", provider, "relation_list", cache), RELATION).filter(F.size("evidence") > 0)
+    about = _shown(chunks, events, "EVENTS", SHOWN["entities"], "name") if show else chunks
+    entities = _rows(ask(about, "entities", provider, "entity_list", cache), ENTITY).filter(F.col("type").isin(*schema.ENTITY_TYPES))
+    both = _shown(_shown(chunks, events, "EVENTS", SHOWN["events"], "name"), entities, "ENTITIES", SHOWN["relations"], "canonical_name") if show else chunks
+    relations = _rows(ask(both, "relations", provider, "relation_list", cache), RELATION)
     return events, entities, relations
 
 
-def assemble(events: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges per (story_id, scene_no): merged by type and name key, ends resolved by chunk, relations repaired, reversed, deduped."""
-    raw = events.select(*KEYS, "pos", "temp_id", F.lit("Event").alias("type"), "name", "description", "evidence").unionByName(
-        entities.select(*KEYS, "pos", "temp_id", "type", F.col("canonical_name").alias("name"), "description", "evidence"))
-    raw = raw.withColumn("key", F.concat_ws("::", "type", text.norm_graph(F.col("name"), F.col("type"))))
+def _key(*columns) -> "F.Column":
+    return F.concat_ws("|", *columns)
+
+
+def assemble(events: DataFrame, entities: DataFrame, relations: DataFrame, renames: DataFrame | None = None, provider: Provider | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges per (story_id, scene_no).
+
+    Nodes: aliases cleaned; resolved by renames(story_id, src, dst), exact keys,
+    name prefixes and the provider's clusters, unless no provider is given; then
+    merged by type and name key.  Edges: ends by chunk and raw id, else by a raw
+    id that means one node in the scene; relations repaired; those without
+    evidence, and roles that their entity's events contradict, dropped; the first
+    of a chunk's equal claims; events without a role get their first participant;
+    then merged and reversed, with the names of their ends.
+    """
     scene = ["story_id", "scene_no"]
-    raw = raw.withColumn("id", F.concat(F.lit("n_"), F.substring(F.md5(F.concat_ws("|", *scene, "key")), 1, 12)))
+    none = F.array().cast("array<string>")
+    raw = events.select(*KEYS, "pos", "temp_id", F.lit("Event").alias("type"), "name", F.array("name").alias("forms"), "description", "evidence", "participants", none.alias("linked")).unionByName(
+        entities.select(*KEYS, "pos", "temp_id", "type", F.col("canonical_name").alias("name"), F.coalesce("surface_forms", none).alias("forms"), "description", "evidence", none.alias("participants"),
+                        F.coalesce("linked_events", none).alias("linked")))
+    raw = raw.filter(F.trim("name") != "").withColumn("evidence", extraction.clean_evidence(F.coalesce("evidence", none)))
+    forms = extraction.surface_forms(F.col("name"), F.col("forms"), F.col("type"), F.col("evidence"))
+    raw = raw.withColumn("aliases", extraction.clean_aliases(F.col("name"), forms, F.col("type"))).withColumn("description", F.coalesce("description", F.lit("")))
+    # A scene is part of every key, so operators that know no scenes keep scenes apart.
+    raw = raw.withColumn("part", _key(*scene)).withColumn("raw_id", _key("part", "chunk_id", "type", "temp_id", F.col("pos").cast("string")))
+    if provider is not None:
+        order = F.row_number().over(Window.partitionBy("part", "type").orderBy("chunk_id", "pos"))
+        given = raw.select(F.col("part").alias("story_id"), "type", F.col("raw_id").alias("id"), order.alias("pos"), "name", "description")
+        renamed = given.sparkSession.createDataFrame([], "story_id string, src string, dst string") if renames is None else (
+            raw.select("story_id", F.col("part").alias("p")).distinct().join(renames, "story_id").select(F.col("p").alias("story_id"), "src", "dst"))
+        left, went = resolve.resolution(given, renamed, provider)
+        names = left.select(F.col("story_id").alias("part"), F.col("id").alias("went"), F.col("name").alias("new_name"), F.col("aliases").alias("more"))
+        went = went.select(F.col("story_id").alias("part"), "raw_id", F.col("id").alias("went")).join(names, ["part", "went"])
+        raw = raw.join(went, ["part", "raw_id"]).withColumn("name", F.col("new_name")).withColumn("aliases", F.array_union("aliases", "more")).drop("went", "new_name", "more")
+    raw = raw.withColumn("key", F.concat_ws("::", "type", text.norm_graph(F.col("name"), F.col("type"))))
+    raw = cut(raw.withColumn("id", F.concat(F.lit("n_"), F.substring(F.md5(_key("part", "key")), 1, 12))))
     order = F.struct("chunk_id", "pos")
     nodes = raw.groupBy(*scene, "id").agg(
-        F.first("type").alias("type"), F.min_by("name", order).alias("name"), F.array_sort(F.collect_set("name")).alias("aliases"),
-        F.max_by("description", F.struct(F.length("description"), "chunk_id")).alias("description"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"), F.min("pos").alias("pos"))
-    ends = raw.select(*KEYS, "temp_id", "id", "type").distinct()
-    s, t = ends.toDF(*KEYS, "source_id", "source", "source_type"), ends.toDF(*KEYS, "target_id", "target", "target_type")
-    joined = relations.join(s, [*KEYS, "source_id"]).join(t, [*KEYS, "target_id"]).filter("source <> target")
-    # A scene is part of every node's id, so operators that know no scenes keep scenes apart.
-    repaired = graph.repair_relations(joined).select("source", "relation", "target").distinct()
-    evidence = joined.groupBy("source", "target").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"), F.max("confidence").alias("confidence"))
-    edges = graph.dedupe_edges(repaired.join(evidence, ["source", "target"], "left").select("source", "relation", "target", F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"), "confidence"))
+        F.first("type").alias("type"), F.min_by("name", order).alias("name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"),
+        F.max_by("description", F.struct(F.length("description"), "chunk_id")).alias("description"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"),
+        F.array(F.col("scene_no").cast("string")).alias("scene_refs"), F.min("pos").alias("pos"))
+    nodes = cut(nodes)
+
+    registry = raw.select("part", F.col("chunk_id").alias("chunk"), "temp_id", "id")
+    chunk_map = graph.resolve_ids(registry.select(_key("part", "chunk", "temp_id").alias("raw_id"), F.col("id").alias("canonical"))).select(F.lit("").alias("chunk_id"), "raw_id", "canonical")
+    id_map = graph.resolve_ids(registry.select(_key("part", "temp_id").alias("raw_id"), F.col("id").alias("canonical")))
+    of = relations.withColumn("part", _key(*scene)).withColumn("n", F.monotonically_increasing_id())
+    joined = of
+    for end in ("source", "target"):
+        by_chunk = chunk_map.select(F.col("raw_id").alias(f"{end}_1"), F.col("canonical").alias(f"{end}_a"))
+        by_id = id_map.select(F.col("raw_id").alias(f"{end}_2"), F.col("canonical").alias(f"{end}_b"))
+        joined = joined.withColumn(f"{end}_1", _key("part", "chunk_id", f"{end}_id")).withColumn(f"{end}_2", _key("part", f"{end}_id")).join(by_chunk, f"{end}_1", "left").join(by_id, f"{end}_2", "left")
+        joined = joined.withColumn(end, F.coalesce(f"{end}_a", f"{end}_b")).drop(f"{end}_1", f"{end}_2", f"{end}_a", f"{end}_b")
+    joined = joined.filter("source <> target").withColumn("evidence", extraction.clean_evidence(F.coalesce("evidence", none))).filter("size(evidence) > 0")
+    joined = extraction.first_wins(joined, ["part", "chunk_id", "source", "relation", "target"], ["pos"])
+    typed = graph.typed_edges(joined.select("part", "source", "relation", "target", "evidence", "confidence", "target_id"), nodes.select("id", "type"))
+    repaired = graph.repair_relations(typed)
+    known = raw.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("linked"))).alias("linked"), F.array_distinct(F.flatten(F.collect_list("participants"))).alias("participants"))
+    who = nodes.select(F.col("id").alias("source"), F.col("name").alias("who")).join(known.select(F.col("id").alias("source"), "linked"), "source")
+    event = known.select(F.col("id").alias("target"), "participants")
+    sane = repaired.join(who, "source").join(event, "target").filter(extraction.role_sane(F.col("relation"), F.col("target_id"), F.col("linked"), F.col("participants"), F.col("who")))
+    edges = cut(graph.dedupe_edges(sane.select("source", "relation", "target", "evidence", "confidence")))
+
+    bare = graph.uncovered_events(nodes.select("id", "type", *scene, "description", F.col("evidence").alias("shown")), edges)
+    said = F.coalesce(F.get("shown", F.lit(0)), F.nullif("description", F.lit("")))
+    happened = bare.join(known.select("id", "participants"), "id").select(
+        _key(*scene).alias("part"), F.col("id").alias("event_id"), "participants", F.when(said.isNull(), none).otherwise(F.array(said)).alias("evidence"))
+    acting = nodes.select(_key(*scene).alias("part"), F.col("id").alias("entity_id"), "pos", "type", "name")
+    edges = cut(edges.unionByName(extraction.cover_events(happened, acting, "part", COVERED).drop("part")))
     edges = edges.unionByName(graph.reverse_edges(edges))
     place = nodes.select(F.col("id").alias("source"), *scene)
-    return nodes, edges.join(place, "source").select(*scene, "source", "relation", "target", "evidence", "confidence")
+    stamped = extraction.stamp_names(edges.withColumnsRenamed({"source": "source_id", "target": "target_id"}), nodes.select("id", F.col("id").alias("temp_id"), "name", "pos")).withColumnsRenamed({"source_id": "source", "target_id": "target"})
+    return nodes, stamped.join(place, "source").select(
+        *scene, "source", "relation", "target", "evidence", "confidence", "source_name", "target_name", F.array(F.col("scene_no").cast("string")).alias("scene_refs"))
 
 
 def attribute_profiles(scenes: DataFrame, provider: Provider, cache: DataFrame | None = None) -> DataFrame:
@@ -128,6 +213,8 @@ def propose(attributes: DataFrame) -> DataFrame:
     return kept.withColumn("text", text.render_finding(F.col("x"), F.col("fact"), F.col("y"), F.col("event"))).filter("text <> ''").withColumn("index", n)
 
 
+#: Stored proposals, as ``propose_by_provider`` gives them.
+PROPOSALS = "story_id string, pos int, x int, y int, fact string, event string, text string, index int"
 PROPOSAL = "array<struct<x: string, y: string, fact: string, event: string>>"
 
 
@@ -141,6 +228,8 @@ def propose_by_provider(nodes: DataFrame, edges: DataFrame, attributes: DataFram
     near-duplicates go.  The summary grows with the story, so the requests of a
     story grow with the square of its scenes, as they must.
     """
+    if "pos" not in edges.columns:
+        edges = edges.withColumn("pos", F.row_number().over(Window.partitionBy("story_id", "scene_no").orderBy("source", "relation", "target")))
     lines = facts.prior_summary(nodes, edges, attributes)
     found = facts.candidate_facts(nodes, edges, attributes).groupBy("story_id", "scene_no").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("f"))
     scenes = lines.join(found, ["story_id", "scene_no"], "full")
@@ -183,6 +272,18 @@ def detect(scenes: DataFrame, provider: Provider, proposals: DataFrame | None =
     return found.withColumn("id", F.row_number().over(Window.partitionBy("story_id").orderBy("index"))).select("story_id", "id", F.col("text").alias("hallucination"))
 
 
+def audit(nodes: DataFrame, edges: DataFrame, attributes: DataFrame, proposals: DataFrame, verified: DataFrame) -> DataFrame:
+    """(story_id, scene_no, facts, proposed, kept, confirmed, rejected): what the verifier saw and decided, per later scene."""
+    keys = ["story_id", "scene_no"]
+    if "pos" not in edges.columns:
+        edges = edges.withColumn("pos", F.lit(0))
+    seen = facts.candidate_facts(nodes, edges, attributes).groupBy(*keys).agg(F.count("*").alias("facts"))
+    asked = proposals.groupBy("story_id", F.col("y").alias("scene_no")).agg(F.count("*").alias("proposed"))
+    done = verified.groupBy("story_id", F.col("y").alias("scene_no")).agg(*[F.count_if(F.col("final_decision") == d).alias(d) for d in ("kept", "confirmed", "rejected")])
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("facts", "proposed", "kept", "confirmed", "rejected")]
+    return seen.join(asked, keys, "full").join(done, keys, "full").select(*keys, *counts)
+
+
 def judge_prompt(scenes: DataFrame) -> DataFrame:
     """(story_id, body): a whole story's scenes in order, for a provider that reads it at once."""
     tagged = F.struct("scene_no", F.concat(F.lit("SCENE "), F.col("scene_no").cast("string"), F.lit("\n"), F.col("content")).alias("t"))

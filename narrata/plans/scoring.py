@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from narrata.functions import jsonfix, text
 from narrata.operators import score, similarity, verify
 
+from . import lifecycle
 from .registry import query, table
-from .temporal import findings
+from .temporal import FIND_SQL, findings
+from .texts import SCORE_SQL, _in
 
 TFIDF_SQL = """docs AS (SELECT p_partkey AS k, p_brand AS brand, {col} AS t FROM part), tk AS (SELECT k, brand, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS token FROM docs),
 tf AS (SELECT k, brand, token, count(*) AS tf FROM tk GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
@@ -48,16 +50,16 @@ def floor_pairs(spark, d):
     return _sims(spark, d).filter(F.col("sim") >= 0.65 + 1e-9).select("p_brand", "a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.label, a.vec_id, b.vec_id AS neighbour, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbour)::INT AS rank FROM s) SELECT label, vec_id, rank, round(sim, 6) AS sim FROM r WHERE rank <= 5""")
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.label, a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 12) AS sim FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbour)::INT AS rank FROM s) SELECT label, vec_id, rank, neighbour, round(sim, 6) AS sim FROM r WHERE rank <= 5""")
 def knn_edges(spark, d):
-    return similarity.nearest(table(spark, d, "embeddings"), "vec_id", "label", "embedding").select("label", "vec_id", "rank", F.round("sim", 6).alias("sim"))
+    return similarity.nearest(table(spark, d, "embeddings"), "vec_id", "label", "embedding").select("label", "vec_id", "rank", "neighbour", F.round("sim", 6).alias("sim"))
 
 
 @query()
 def kmeans_clusters(spark, d):
-    """Clusters of a part's neighbours by brand: k by eigengap, then k-means (a brand's parts are one group)."""
-    vectors = table(spark, d, "embeddings").select(F.concat_ws("-", "label", F.col("vec_id") % 8).alias("story"), "vec_id", "embedding")
+    """Clusters of the vectors of each label: k by eigengap of their neighbour graph, then k-means."""
+    vectors = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("story"), "vec_id", "embedding")
     return similarity.cluster(vectors, "story", "vec_id", "embedding").select("story", "vec_id", "k", "cluster")
 
 
@@ -94,7 +96,22 @@ def micro_rollup(spark, d):
     return score.rollup(_counts(spark, d), "lang", "source")
 
 
-@query()
+def _scored(col: str) -> str:
+    return SCORE_SQL.replace("lower(text)", f"lower({col})")
+
+
+_OVERLAP = """CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 WHEN least(len({a}), len({b})) = 0 THEN 0.0 ELSE greatest(
+  len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))), len(list_intersect({a}, {b}))::DOUBLE / least(len({a}), len({b}))) END"""
+
+
+@query(f"""WITH RECURSIVE {FIND_SQL}, t AS (SELECT story_id, pos, previous_scene AS x, scene_no AS y, {_scored('fact')} AS f, {_scored('event')} AS e FROM findings),
+s AS (SELECT g.story_id, g.pos AS g, p.pos AS p, least({_OVERLAP.format(a='g.f', b='p.f')}, {_OVERLAP.format(a='g.e', b='p.e')}) AS score FROM t g JOIN t p ON g.story_id = p.story_id AND g.x = p.x AND g.y = p.y AND p.pos % 3 <> 0),
+c AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY score DESC, g, p) AS i FROM s WHERE score >= 0.35),
+r(story_id, i, gs, ps) AS (SELECT DISTINCT story_id, 0::BIGINT, []::INT[], []::INT[] FROM t
+  UNION ALL SELECT r.story_id, c.i, CASE WHEN list_contains(gs, g) OR list_contains(ps, p) THEN gs ELSE list_append(gs, g) END, CASE WHEN list_contains(gs, g) OR list_contains(ps, p) THEN ps ELSE list_append(ps, p) END
+  FROM r JOIN c ON c.story_id = r.story_id AND c.i = r.i + 1),
+m AS (SELECT story_id, arg_max(len(gs), i) AS tp FROM r GROUP BY story_id), n AS (SELECT story_id, count(*) AS gold, count(*) FILTER (pos % 3 <> 0) AS pred FROM t GROUP BY story_id)
+SELECT story_id, gold, pred, tp::BIGINT AS tp, (pred - tp)::BIGINT AS fp, (gold - tp)::BIGINT AS fn FROM n JOIN m USING (story_id)""")
 def greedy_match(spark, d):
     """Rendered findings against paraphrases of them: every third is missing, the rest drop the template's ends."""
     f = findings(spark, d)
@@ -104,7 +121,12 @@ def greedy_match(spark, d):
     return score.match(gold, pred)
 
 
-@query()
+@query(f"""WITH RECURSIVE {FIND_SQL}, f AS (SELECT story_id, previous_scene AS x, scene_no AS y, pos, fact || ' ' || event AS t FROM findings UNION ALL SELECT story_id, previous_scene, scene_no, pos + 100000, fact || ' ' || event || ' again' FROM findings),
+k AS (SELECT story_id, x, y, pos, list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z0-9]+'), lambda w: w NOT IN ({_in(text.DEDUPE_STOPWORDS)}))) AS t, row_number() OVER (PARTITION BY story_id, x, y ORDER BY pos) AS i FROM f),
+r(story_id, x, y, i, pos, held, kept) AS (SELECT DISTINCT story_id, x, y, 0::BIGINT, 0, []::VARCHAR[][], false FROM k
+  UNION ALL SELECT r.story_id, r.x, r.y, k.i, k.pos, CASE WHEN dup THEN held ELSE list_append(held, k.t) END, NOT dup FROM r JOIN k ON k.story_id = r.story_id AND k.x = r.x AND k.y = r.y AND k.i = r.i + 1,
+  LATERAL (SELECT len(list_filter(held, lambda h: len(list_intersect(h, k.t)) >= 0.5 * len(list_distinct(list_concat(h, k.t))))) > 0 AS dup))
+SELECT story_id, x, y, pos, kept FROM r WHERE i > 0""")
 def near_dupe_fold(spark, d):
     f = findings(spark, d)
     again = f.withColumn("pos", F.col("pos") + 100000).withColumn("event", F.concat(F.col("event"), F.lit(" again")))
@@ -150,4 +172,4 @@ def cache_anti_join(spark, d):
     e = table(spark, d, "events")
     asked = e.select("event_id", text.cache_key(F.lit("verify"), F.col("event_id"), F.col("event_type")).alias("cache_key"))
     held = e.filter("event_id % 3 = 0").select(text.cache_key(F.lit("verify"), F.col("event_id"), F.col("event_type")).alias("cache_key"))
-    return asked.join(held, "cache_key", "left_anti").select("event_id", "cache_key")
+    return lifecycle.not_held(asked, held).select("event_id", "cache_key")

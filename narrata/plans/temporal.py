@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from narrata.functions import text
-from narrata.operators import facts, verify
+from narrata.operators import extraction, facts, verify
 
 from .registry import query, table
 from .texts import _in
@@ -53,22 +53,46 @@ def attr_history_text(spark, d):
     return facts.history(attributes(spark, d))
 
 
-@query(f"""WITH {ATTRS_SQL}, n AS (SELECT story_id, 1 AS scene_no, 0 AS class, row_number() OVER (PARTITION BY story_id ORDER BY scene_no, entity) AS pos, 'attribute' AS kind, entity || '.' || attr || ' = ' || value AS text, entity AS name FROM attrs),
-u AS (SELECT story_id, scene_no, text, arg_min({{'c': class, 'p': pos, 'k': kind, 'n': name}}, (class, pos)) AS f FROM n GROUP BY ALL),
+#: A story's event types as nodes (views are places) and edges between them; only what has a number lasts.
+KINDS_SQL = """kinds AS (SELECT user_id AS story_id, event_type AS id, (row_number() OVER (PARTITION BY user_id ORDER BY event_type))::INT AS pos, CASE WHEN event_type = 'view' THEN 'Location' ELSE 'Concept' END AS type,
+  CASE WHEN count(*) % 2 = 0 THEN event_type || ' ' || count(*) ELSE event_type END AS name, CASE WHEN count(*) % 3 = 0 THEN 'three of a week' END AS description FROM events GROUP BY user_id, event_type),
+links AS (SELECT a.story_id, (100 * a.pos + b.pos)::INT AS pos, CASE WHEN a.pos % 2 = 0 THEN 'part_of' ELSE 'located_at' END AS relation, a.name AS s, b.name AS t FROM kinds a JOIN kinds b ON a.story_id = b.story_id AND a.pos < b.pos)"""
+
+
+def _kinds(spark, d):
+    n = F.count("*")
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("story_id"), F.col("event_type").alias("id")).agg(n.alias("n"))
+    w = Window.partitionBy("story_id").orderBy("id")
+    nodes = e.select("story_id", F.lit(1).alias("scene_no"), F.row_number().over(w).alias("pos"), "id", F.when(F.col("id") == "view", "Location").otherwise("Concept").alias("type"),
+                     F.when(F.col("n") % 2 == 0, F.concat_ws(" ", "id", "n")).otherwise(F.col("id")).alias("name"), F.when(F.col("n") % 3 == 0, "three of a week").alias("description"))
+    a, b = (nodes.select("story_id", F.col("id").alias(c), F.col("pos").alias(f"{c}_pos")) for c in ("source", "target"))
+    edges = a.join(b, "story_id").filter("source_pos < target_pos").select("story_id", F.lit(1).alias("scene_no"), (100 * F.col("source_pos") + F.col("target_pos")).alias("pos"), "source",
+                                                                          F.when(F.col("source_pos") % 2 == 0, "part_of").otherwise("located_at").alias("relation"), "target")
+    return nodes, edges
+
+
+_DURABLE = "regexp_matches(lower({t}), '(^|[^\\p{{L}}\\p{{N}}_])[0-9]+($|[^\\p{{L}}\\p{{N}}_])') OR list_has_any(regexp_extract_all(lower({t}), '[a-z0-9]+'), [" + _in(text.DURABLE_TERMS) + "])"
+NODE_TEXT_SQL = "name || CASE WHEN description IS NULL THEN '' ELSE ' — ' || description END"
+
+
+@query(f"""WITH {ATTRS_SQL}, {KINDS_SQL}, nt AS (SELECT *, {NODE_TEXT_SQL} AS text FROM kinds), lt AS (SELECT *, '(' || s || ') -[' || relation || ']-> (' || t || ')' AS text FROM links),
+n AS (SELECT story_id, 0 AS class, (row_number() OVER (PARTITION BY story_id ORDER BY scene_no, entity))::INT AS pos, 'attribute' AS kind, entity || '.' || attr || ' = ' || value AS text, entity AS name FROM attrs
+  UNION ALL SELECT story_id, 1, pos, lower(type), text, name FROM nt WHERE type <> 'Location' AND ({_DURABLE.format(t='text')})
+  UNION ALL SELECT story_id, 2, pos, 'relation', text, text FROM lt WHERE relation <> 'located_at' AND ({_DURABLE.format(t='text')})),
+u AS (SELECT story_id, text, arg_min({{'c': class, 'p': pos, 'k': kind, 'n': name}}, (class, pos)) AS f FROM n GROUP BY ALL),
 r AS (SELECT story_id, row_number() OVER (PARTITION BY story_id ORDER BY f.c, f.p, text)::INT AS pos, f.k AS kind, text, f.n AS name FROM u) SELECT * FROM r WHERE pos <= 25""")
 def top25_facts(spark, d):
     """A story's first 25 facts, its days taken as one scene (the budget of a verifier's prompt)."""
     pos = F.row_number().over(Window.partitionBy("story_id").orderBy("scene_no", "entity"))
     a = attributes(spark, d).withColumn("pos", pos).withColumn("scene_no", F.lit(1))
-    n = spark.createDataFrame([], "story_id long, scene_no int, pos int, id string, type string, name string, description string")
-    e = spark.createDataFrame([], "story_id long, scene_no int, pos int, source string, relation string, target string")
+    n, e = _kinds(spark, d)
     return facts.candidate_facts(n, e, a).select("story_id", "pos", "kind", "text", "name")
 
 
 @query("SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, min(event_id) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, ts::DATE ORDER BY ts, event_id) AS r FROM events) WHERE r = 1 GROUP BY ALL")
 def first_wins(spark, d):
-    w = Window.partitionBy("user_id", "event_type", F.to_date("ts")).orderBy("ts", "event_id")
-    return table(spark, d, "events").withColumn("r", F.row_number().over(w)).filter("r = 1").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id")
+    e = table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return extraction.first_wins(e, ["user_id", "event_type", "day"], ["ts", "event_id"]).select("user_id", "event_type", "day", "event_id")
 
 
 @query("SELECT event_id, (row_number() OVER w)::INT AS index, ((row_number() OVER w - 1) // 12 + 1)::INT AS batch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -117,15 +141,20 @@ def soft_overlap(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", F.round(text.soft_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, lower(role) AS tag, text, regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])[0-9]+($|[^\\p{{L}}\\p{{N}}_])') OR
-list_has_any(regexp_extract_all(lower(text), '[a-z0-9]+'), [{_in(text.DURABLE_TERMS)}]) AS durable FROM conversations)
-SELECT conv_id AS story_id, (turn + 1)::INT AS scene_no, md5('S' || (turn + 1) || ': [' || CASE WHEN tag = 'user' THEN 'event' ELSE 'concept' END || '] ' || text) AS line FROM t WHERE tag = 'user' OR durable""")
+@query(f"""WITH t AS (SELECT conv_id AS story_id, (turn + 1)::INT AS scene_no, lower(role) AS tag, text, {_DURABLE.format(t='text')} AS durable, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations),
+l AS (SELECT story_id, scene_no, '[' || CASE WHEN tag = 'user' THEN 'event' ELSE 'concept' END || '] ' || text AS line FROM t WHERE tag = 'user' OR durable
+  UNION ALL SELECT story_id, scene_no, '(' || text || ') -[causes]-> (' || story_id || '-' || (scene_no + 1) || ')' FROM t WHERE reply IS NOT NULL AND scene_no % 2 = 1
+  UNION ALL SELECT story_id, scene_no, '[attr] ' || tag || '.length = ' || length(text) FROM t)
+SELECT story_id, scene_no, md5('S' || scene_no || ': ' || line) AS line FROM l""")
 def prior_summary(spark, d):
-    """Lines that a scene contributes to the summary of what was before: all events, other nodes only if durable."""
+    """Lines that a scene contributes to the summary of what was before: all events, other nodes only if durable, lasting relations, attributes."""
     kind = F.when(F.lower("role") == "user", "Event").otherwise("Concept")
-    n = scenes(spark, d).select("story_id", "scene_no", F.lit(1).alias("pos"), F.concat_ws("-", "story_id", "scene_no").alias("id"), kind.alias("type"), F.col("text").alias("name"), F.lit(None).cast("string").alias("description"))
-    e = spark.createDataFrame([], "story_id long, scene_no int, pos int, source string, relation string, target string")
-    a = spark.createDataFrame([], "story_id long, scene_no int, pos int, entity string, attr string, value string")
+    s, key = scenes(spark, d), lambda by: F.concat_ws("-", "story_id", F.col("scene_no") + by)
+    n = s.select("story_id", "scene_no", F.lit(1).alias("pos"), key(0).alias("id"), kind.alias("type"), F.col("text").alias("name"), F.lit(None).cast("string").alias("description"))
+    more = F.lead("text").over(Window.partitionBy("story_id").orderBy("scene_no"))
+    e = s.withColumn("reply", more).filter("reply is not null").select(
+        "story_id", "scene_no", F.lit(1).alias("pos"), key(0).alias("source"), F.when(F.col("scene_no") % 2 == 1, "causes").otherwise("located_at").alias("relation"), key(1).alias("target"))
+    a = s.select("story_id", "scene_no", F.lit(1).alias("pos"), F.lower("role").alias("entity"), F.lit("length").alias("attr"), F.length("text").cast("string").alias("value"))
     return facts.prior_summary(n, e, a).select("story_id", "scene_no", F.explode("lines").alias("line")).withColumn("line", F.md5("line"))
 
 

@@ -93,10 +93,13 @@ def reconstruct_text(spark, d):
     return docs.join(rebuilt, "doc_id").select("doc_id", F.md5("r").alias("content"), F.length("r").alias("n_chars"), (F.col("r") == F.col("text")).alias("same"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g'))) AS signature FROM documents)
+@query(r"""WITH h AS (SELECT doc_id, repeat('Running  head' || chr(10), 1 + (doc_id % 6)::INT) || text AS text FROM documents),
+s AS (SELECT doc_id, lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g'))) AS signature FROM h)
 SELECT doc_id, signature, count(*) AS n FROM s WHERE length(signature) BETWEEN 3 AND 60 AND NOT regexp_matches(signature, '[.!?;:]$') GROUP BY ALL HAVING count(*) >= 4""")
 def repeated_headers(spark, d):
-    return corpus.repeated_headers(table(spark, d, "documents"), "doc_id", "text")
+    """Texts that are given a running head, one to six times."""
+    docs = table(spark, d, "documents").withColumn("text", F.concat(F.repeat(F.lit("Running  head\n"), (1 + F.col("doc_id") % 6).cast("int")), "text"))
+    return corpus.repeated_headers(docs, "doc_id", "text")
 
 
 @query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?m)[ \t\x0B\f\r]+$', '', 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '') || chr(10)) AS content FROM pages""")
@@ -158,9 +161,9 @@ TERMS = ("the", "und", "les", "que", "license")
 c AS (SELECT doc_id, term, len(list_filter(w, lambda x: x = term)) AS n FROM w, t) SELECT doc_id, term, n::INT AS n FROM c WHERE n > 0""")
 def survivor_hits(spark, d):
     """Terms that a renaming should have removed, with their counts in each text."""
-    docs = table(spark, d, "documents")
-    hits = F.array(*[F.struct(F.lit(t).alias("term"), F.regexp_count("text", F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_]){t}(?:'s|’s)?(?![\p{{L}}\p{{N}}_])")).alias("n")) for t in TERMS])
-    return docs.select("doc_id", F.inline(hits)).filter("n > 0")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("story_id"), "text")
+    hits = corpus.rename_stories(docs, [(t, t) for t in TERMS]).select(F.col("story_id").cast("long").alias("doc_id"), F.inline("survivors"))
+    return hits.select("doc_id", "term", F.col("count").alias("n"))
 
 
 @query()
@@ -168,10 +171,16 @@ def heuristic_split(spark, d):
     return table(spark, d, "documents").select("doc_id", corpus.heuristic_starts(F.col("text")).alias("starts")).select("doc_id", F.size("starts").alias("scenes"), F.array_join(F.col("starts").cast("array<string>"), ",").alias("starts"))
 
 
-@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS line_no FROM documents)
+HEADS = "Chapter IV. The House\nFit the Third\nxii\nnot a heading\n"
+
+
+@query(f"""WITH d AS (SELECT doc_id, replace('{HEADS.replace(chr(10), '@')}', '@', chr(10)) || 'Chapter ' || doc_id || chr(10) || text AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS line_no FROM d)
 SELECT doc_id, line_no, trim(line) AS heading FROM l WHERE regexp_matches(line, '\\S') AND regexp_matches(line, '{text.HEADING.replace("'", "''")}')""")
 def heading_match(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """Headings of texts that are given some."""
+    docs = table(spark, d, "documents").withColumn("text", F.concat(F.lit(HEADS), F.lit("Chapter "), F.col("doc_id").cast("string"), F.lit("\n"), "text"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.filter(F.col("line").rlike(r"\S") & F.col("line").rlike(text.HEADING)).select("doc_id", (F.col("line_no") + 1).alias("line_no"), F.trim("line").alias("heading"))
 
 

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -36,3 +36,11 @@ def shared_base(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="narrata-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table as it is now, checkpointed to the shared folder: what costs requests or is read often is worked out once."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_base(df.sparkSession))
+    return df.checkpoint()

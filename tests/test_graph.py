@@ -41,10 +41,12 @@ def test_resolve_edges(spark):
 
 
 @pytest.mark.parametrize("names, merged", [
-    (["ada", "ada byron"], {0: 1}), (["ada byron", "ada"], {1: 0}), (["ada byron", "ada m byron"], {0: 1}), (["ada byron", "ada king"], {}), (["ada", "ada"], {}), (["", "ada"], {}),
+    (["ada", "ada byron"], {0: 1}), (["ada byron", "ada"], {1: 0}), (["ada byron", "ada m byron"], {0: 1}), (["ada byron", "ada king"], {}), (["ada", "ada"], {}), (["-", "ada"], {}),
+    (["ada", "ada byron", "ada king"], {0: 2}), (["ada king", "ada", "ada byron"], {1: 0}), (["ada b", "ada c b", "ada d c b", "ada"], {0: 2, 1: 2, 3: 0}),
 ])
-def test_prefixes(names, merged):
-    assert resolve.prefix_merges([n.split() for n in names]) == merged
+def test_prefixes(spark, names, merged):
+    n = spark.createDataFrame([("s", str(i), i, "Character", x) for i, x in enumerate(names)], "story_id string, id string, pos int, type string, name string")
+    assert {int(r.id): int(r["into"]) for r in resolve.merge_prefixes(n).collect()} == merged
 
 
 def test_merge_prefixes(spark):
