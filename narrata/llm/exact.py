@@ -27,6 +27,8 @@ from .common import SPACE_CLASS
 
 #: Distinct hashes in a bucket.
 CAPACITY = 4096
+#: Bits of the bitmap that keeps texts of lone hashes where they are (32 MB).
+MOST_BITS = 1 << 28
 
 
 def normalised(col: str = "text") -> Column:
@@ -58,6 +60,22 @@ def directory(hashes: DataFrame, folder: str, capacity: int = CAPACITY, depth: i
     return out
 
 
+def probably_in(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``h`` may be among ``hashes``: all that are, and few others.
+
+    A bitmap of 32 to 64 bits a hash, ``MOST_BITS`` at most, is broadcast in
+    rows of 4 KB; what passes is joined exactly afterwards, also where the
+    bitmap is full.
+    """
+    bits = min(MOST_BITS, max(1 << 15, 1 << (32 * hashes.count()).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit(bits - 1))
+    block, at = F.shiftrightunsigned(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1))
+    bitmap = hashes.select(block.alias("block"), at.alias("at")).groupBy("block").agg(F.bitmap_construct_agg("at").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("block", block).join(F.broadcast(bitmap), "block")  # MOST_BITS at most
+    return joined.filter(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).drop("block", "map")
+
+
 def build_index(docs: DataFrame, folder: str, carry: tuple[str, ...] = (), capacity: int = CAPACITY, depth: int | None = None, hashed: Column | None = None) -> DataFrame:
     """The index table (bucket, depth, h, chain, sha, keep, n, members): equal entries of a chain position are one text.
 
@@ -77,7 +95,8 @@ def build_index(docs: DataFrame, folder: str, carry: tuple[str, ...] = (), capac
         "bucket", "depth", "h", F.lit("").alias("norm"), "sha", lone.alias("keep"), F.lit(1).cast("long").alias("n"), F.array("member").alias("members"))
     # Texts travel for shared hashes only; a task's copies of a text are one row.  The key is a struct, so that the
     # grouping does not build on the join's partitioning by hash: adaptive execution may then split a hot hash.
-    several = rows.join(cells.filter("rows > 1").drop("rows"), "h").groupBy(F.struct("bucket", "depth", "h").alias("cell"), "norm", F.spark_partition_id().alias("task")).agg(
+    shared = cells.filter("rows > 1").drop("rows")
+    several = probably_in(rows, shared).join(shared, "h").groupBy(F.struct("bucket", "depth", "h").alias("cell"), "norm", F.spark_partition_id().alias("task")).agg(
         F.min(lone).alias("keep"), F.count("*").alias("n"), F.collect_list("member").alias("members"))
     several = several.select("cell.*", "norm", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep", "n", "members")
     entries = alone.unionByName(several)
