@@ -24,8 +24,10 @@ the input.
 4. Mark.  The windows of phrases with repeated minimizers go, but for survivors.
 
 A minimizer with over ``HOT`` distinct phrases (a common passage's edge in very
-many documents) would not fit a task; its windows are matched by a 128-bit hash
-in a shuffle that combines them first, an exact way beside the index.
+many documents) would not fit a task; its phrases are parsed again by minimizers
+that are not as common, and go through the index then.  Windows that consist of
+such common strings only are matched by a 128-bit hash in a shuffle that combines
+them first.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from . import common
 
 #: Bytes of a string under the minimizer hash: long enough that chance hardly repeats one.
 K = 40
-#: Distinct phrases of a minimizer that one index takes.
+#: Distinct phrases of a minimizer that one index takes; beyond, they are parsed again.
 HOT = 20_000
 #: Bytes of phrases in an index block.
 BLOCK = 1 << 19
@@ -72,11 +74,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def phrases(data: np.ndarray, ends: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def phrases(data: np.ndarray, ends: np.ndarray, length: int, k: int = K, avoid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer, document, first window, windows) of each phrase of the documents in ``data``.
 
     ``ends``: where each document ends.  Windows do not cross documents.  The
     leftmost of equal hashes counts, so the choice depends on the window alone.
+    Strings whose hash the bitmap ``avoid`` holds count only where a window has
+    no other.
     """
     n = len(data)
     none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
@@ -86,6 +90,8 @@ def phrases(data: np.ndarray, ends: np.ndarray, length: int, k: int = K) -> tupl
     hashes = _mix((sums[k:] - sums[:-k]) * _power(INVERSE, n - k + 1))
     low = np.uint64((1 << 32) - 1)
     v = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
+    if avoid is not None:
+        v[common.in_bitmap(avoid, hashes.view(np.int64))] |= ~low
     w, span = length - k + 1, 1
     while 2 * span <= w:
         v = np.minimum(v[:-span], v[span:])
@@ -191,8 +197,8 @@ class RunLengthIndex:
 
     ``heads``: where runs start; ``lf``: the LF target of each head; ``firsts``
     and ``tails``: text positions sampled at run starts and ends; ``stats``:
-    matching statistics at the sampled positions.  The suffix order itself is
-    not kept.
+    matching statistics at the sampled positions; ``cuts``: rows whose statistic
+    is below the length.  The suffix order itself is not kept.
     """
 
     def __init__(self, texts: list[bytes], length: int):
@@ -221,18 +227,19 @@ class RunLengthIndex:
         match[0] = 0  # the first suffix has none before it
         by_place = np.argsort(self.firsts)
         self.sampled, self.stats = self.firsts[by_place], match[by_place]
-        self.n, self.cuts = n, self._cuts(order)
+        self.n = n
+        self.cuts = np.flatnonzero(self.statistics()[order] < length)  # rows where a class of equal windows begins
 
     @classmethod
     def _order(cls, sym: np.ndarray, left: np.ndarray) -> np.ndarray:
         """The suffix order, by doubling; what follows a terminator does not count, equal suffixes stay in text order."""
         n = len(sym)
         key = np.zeros(n, np.uint64)
-        for i in range(4):  # ranks by the first symbols
+        for i in range(7):  # ranks by the first symbols: nine bits each
             part = np.zeros(n, np.uint64)
             part[: n - i] = sym[i:]
             key = (key << np.uint64(9)) | np.where(left > i, part, 0).astype(np.uint64)
-        rank, depth, longest = cls._ranked(key), 4, int(left.max())
+        rank, depth, longest = cls._ranked(key), 7, int(left.max())
         while depth < longest:
             rank = cls._ranked(cls._pair(rank, left, depth))
             depth *= 2
@@ -254,18 +261,14 @@ class RunLengthIndex:
             alive = alive[(got == 8) & (out[alive] < most[alive])]
         return out
 
-    def statistics(self, places: np.ndarray) -> np.ndarray:
-        """Matching statistics of text positions against the suffix before each in suffix order.
+    def statistics(self) -> np.ndarray:
+        """Matching statistics of all text positions against the suffix before each in suffix order.
 
         They fall by one from a position to the next wherever both suffixes
         stand in the same run, so the sample before a position gives them.
         """
-        at = np.searchsorted(self.sampled, places, "right") - 1
-        return np.maximum(self.stats[at] - (places - self.sampled[at]), 0)
-
-    def _cuts(self, order: np.ndarray) -> np.ndarray:
-        """Rows whose matching statistic is below the length: there a class of equal windows begins."""
-        return np.flatnonzero(self.statistics(order) < self.length)
+        run = np.diff(np.append(self.sampled, self.n))
+        return np.maximum(np.repeat(self.stats + self.sampled, run) - np.arange(self.n), 0)
 
     @staticmethod
     def _ranked(key: np.ndarray) -> np.ndarray:
@@ -351,6 +354,23 @@ def _index_blocks(length: int, block: int):
     return run
 
 
+def _parsed_again(length: int, k: int, avoid):
+    """Phrases -> (m, s, doc_id, th, pos, n, phrase): their windows by minimizers that ``avoid`` does not hold."""
+
+    def run(batches):
+        for batch in batches:
+            for part in common.slices(batch, "phrase", PARSED):
+                texts = part.column("phrase").to_pylist()
+                m, of, at, n = phrases(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))), length, k, avoid.value)
+                own = [texts[t][p : p + c - 1 + length] for t, p, c in zip(of.tolist(), at.tolist(), n.tolist())]
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)).view(np.int64)
+                ids, th, pos = (part.column(c).take(pa.array(of)) for c in ("doc_id", "th", "pos"))
+                yield pa.record_batch([pa.array(m.view(np.int64)), pa.array(hashes), ids, th, pa.array((np.asarray(pos) + at).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own, pa.binary())],
+                                      ["m", "s", "doc_id", "th", "pos", "n", "phrase"])
+
+    return run
+
+
 def _window_hashes(length: int):
     """Phrases -> a row per window with the 128-bit hash of its bytes."""
 
@@ -378,14 +398,39 @@ def repeated_windows(docs: DataFrame, folder: str, length: int, k: int = K, hot:
     alone = groups.filter("s1 = s2").select("f.doc_id", "f.th", "f.pos", "f.n")
     bitmap = common.bitmap_of(groups.filter("s1 <> s2"), "m")
     # What the bitmap passes beyond those groups is indexed too, with the same result.
-    distinct = phrase_texts(docs, bitmap, length, k).groupBy("m", "s").agg(F.min(place).alias("f"), F.first("phrase").alias("phrase"))
-    distinct = common.stored(distinct.select("m", "f.doc_id", "f.th", "f.pos", "f.n", "phrase"), folder, "distinct")
-    hot_m = common.stored(distinct.groupBy("m").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > hot).select("m"), folder, "hot")
-    cold = distinct.join(hot_m, "m", "left_anti").select("m", "doc_id", "th", "pos", "n", "phrase")
-    indexed = cold.repartition("m").sortWithinPartitions("m").mapInArrow(_index_blocks(length, block), "doc_id long, th long, pos int, n int")
-    windows = distinct.join(hot_m, "m", "left_semi").select("doc_id", "th", "pos", "n", "phrase").mapInArrow(_window_hashes(length), "h1 long, h2 long, doc_id long, th long, pos int")
-    of_hot = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "th")).alias("f")).select("f.doc_id", "f.th", "f.pos", F.lit(1).alias("n"))
-    return found.select("doc_id", "th", "pos", "n"), common.stored(alone.unionByName(indexed).unionByName(of_hot), folder, "survivors")
+    distinct = _distinct(phrase_texts(docs, bitmap, length, k), folder, "distinct")
+    schema = "doc_id long, th long, pos int, n int"
+
+    def indexed(rows: DataFrame) -> DataFrame:
+        return rows.repartition("m").sortWithinPartitions("m").mapInArrow(_index_blocks(length, block), schema)
+
+    hot_m = _crowded(distinct, hot, folder, "hot")
+    found_in = [alone, indexed(distinct.join(hot_m, "m", "left_anti"))]
+    if not hot_m.isEmpty():
+        # Another string of each window is its minimizer; what is still crowded has crowded strings only.
+        avoid = docs.sparkSession.sparkContext.broadcast(common.bitmap_of(hot_m, "m"))  # of bounded size
+        crowded = distinct.join(hot_m, "m", "left_semi").mapInArrow(_parsed_again(length, k, avoid), f"m long, s long, {schema}, phrase binary")
+        again = _distinct(crowded, folder, "again")
+        still = _crowded(again, hot, folder, "still")
+        found_in.append(indexed(again.join(still, "m", "left_anti")))
+        windows = again.join(still, "m", "left_semi").select("doc_id", "th", "pos", "n", "phrase").mapInArrow(_window_hashes(length), "h1 long, h2 long, doc_id long, th long, pos int")
+        found_in.append(windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "th")).alias("f")).select("f.doc_id", "f.th", "f.pos", F.lit(1).alias("n")))
+    survivors = found_in[0]
+    for more in found_in[1:]:
+        survivors = survivors.unionByName(more)
+    return found.select("doc_id", "th", "pos", "n"), common.stored(survivors, folder, "survivors")
+
+
+def _distinct(phrase_rows: DataFrame, folder: str, name: str) -> DataFrame:
+    """(m, doc_id, th, pos, n, phrase): a row per distinct phrase, with its first place."""
+    place = F.struct("doc_id", "pos", "th", "n")
+    rows = phrase_rows.groupBy("m", "s").agg(F.min(place).alias("f"), F.first("phrase").alias("phrase"))
+    return common.stored(rows.select("m", "f.doc_id", "f.th", "f.pos", "f.n", "phrase"), folder, name)
+
+
+def _crowded(distinct: DataFrame, hot: int, folder: str, name: str) -> DataFrame:
+    """(m): minimizers of over ``hot`` distinct phrases."""
+    return common.stored(distinct.groupBy("m").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > hot).select("m"), folder, name)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, k: int = K, hot: int = HOT, block: int = BLOCK) -> DataFrame:
