@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from narrata.shipping import shared_base, ship
+from narrata.shipping import shared_base, ship, slices
 
 #: Lower-cases A-Z only, on UTF-8 bytes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -87,20 +86,6 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts a record batch into runs of rows whose ``column`` holds about ``most_bytes`` (a row at least)."""
-    if batch.num_rows == 0:
-        return
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0))
-    ends = np.cumsum(sizes.astype(np.int64))
-    at = 0
-    while at < len(sizes):
-        before = int(ends[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, column: str, most_bytes: int = 4 << 20) -> DataFrame:
     """mapInArrow over bounded slices of each batch; memory stays bounded whatever the text lengths are."""
 
@@ -115,7 +100,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
-#: Bits of a bitmap, at least and at most (128 MB); between, 16 for each value.
+#: Bits of a bitmap, at least and at most (128 MB); between, 32 to 64 for each value.
 BITMAP_BITS = 1 << 20, 1 << 30
 
 
@@ -126,7 +111,7 @@ def bitmap_of(df: DataFrame, col: str) -> np.ndarray:
     most.  As a prefilter it only saves work: what passes is joined exactly
     afterwards, also where a table of over 2**30 values fills it.
     """
-    bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], 1 << (16 * df.count() - 1).bit_length()))
+    bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], 1 << (32 * df.count()).bit_length()))
     pos = F.col(col).bitwiseAND(F.lit(bits - 1))
     rows = (
         df.filter(F.col(col).isNotNull())

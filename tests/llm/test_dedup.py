@@ -94,6 +94,15 @@ def test_exact(docs, empty):
     assert exact.exact_duplicates(empty).count() == 0
 
 
+def test_bitmap_misses_nothing(spark):
+    rnd = random.Random(6)
+    hashes = [rnd.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    rows, held = (spark.createDataFrame([(h,) for h in x], "h long") for x in (hashes, hashes[::3]))
+    got = [r.h for r in exact.probably_in(rows, held).collect()]
+    assert set(hashes[::3]) <= set(got) and len(got) < 1300
+    assert exact.probably_in(rows, held.filter("false")).count() == 0
+
+
 def test_one_row_stays(spark):
     rows = [(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b"), (2, None), (2, ""), (3, "c")]
     df = spark.createDataFrame([(i, t, "en", "a", n, "x", "y") for n, (i, t) in enumerate(rows)], SCHEMA)
@@ -159,11 +168,11 @@ def test_matching_statistics():
         index = suffix.RunLengthIndex(texts, 9)
         places = [(t, p) for t in range(len(texts)) for p in range(len(texts[t]) + 1)]
         plain = sorted(places, key=lambda x: (texts[x[0]][x[1] :], x))
-        flat = {x: int(index.starts[x[0]]) + x[1] for x in places}
+        flat, stats = {x: int(index.starts[x[0]]) + x[1] for x in places}, index.statistics()
         for a, b in zip(plain, plain[1:]):
             x, y = texts[a[0]][a[1] :], texts[b[0]][b[1] :]
             shared = next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
-            assert int(index.statistics(np.array([flat[b]]))[0]) == shared
+            assert stats[flat[b]] == shared
         windows = np.array([max(0, len(t) - 8) for t in texts])
         of = {}
         for t, p, c in zip(*index.classes(windows)):
