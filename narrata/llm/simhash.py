@@ -36,8 +36,10 @@ from .common import LOWER
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Bits by which linked fingerprints may differ.
 DISTANCE = 4
-#: Chains and the parts that all but their first segment are cut into; keys of 19, 26, 32 and 38 bits.
-LADDER = ((2, 2), (3, 4), (4, 6), (5, 8))
+#: Chains and the parts that all but their first segment are cut into; keys of 26, 32 and 38 bits.
+LADDER = ((3, 4), (4, 6), (5, 8))
+#: Bits by which keys are longer than it takes to tell the fingerprints apart: chance then pairs fewer than there are.
+SPARE = 4
 #: Keys that more distinct fingerprints share give a spanning forest.
 HOT = 32
 #: Fingerprints that are compared at once; keys that more share go down the ladder.
@@ -99,9 +101,9 @@ def masks(start: int, links: int, parts: int) -> list[int]:
 
 
 def rung(n: int) -> int:
-    """The first rung whose keys are too long for ``n`` even fingerprints to share many."""
-    need = math.log2(max(1, n)) - 1
-    fits = (i for i, (links, parts) in enumerate(LADDER) if min(m.bit_count() if m >= 0 else (m + (1 << 64)).bit_count() for m in masks(0, links, parts)) >= need)
+    """The first rung whose keys are long enough for ``n`` even fingerprints."""
+    need = math.log2(max(1, n)) + SPARE
+    fits = (i for i, rung_ in enumerate(LADDER) if min((m & 0xFFFFFFFFFFFFFFFF).bit_count() for m in masks(0, *rung_)) >= need)
     return next(fits, len(LADDER) - 1)
 
 
