@@ -60,3 +60,16 @@ def test_durable_and_aliases(spark):
 
 def test_encoding(spark):
     assert one(spark, text.fix_encoding(F.col("t")), t="a\r\nb\rcÂ d﻿") == "a\nb\nc d"
+
+
+def test_fold_is_compatibility_decomposition(spark):
+    """Every character of the planes that decompose, against the standard library."""
+    import unicodedata
+
+    chars = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c <= 0xDFFF]
+    lines = ["".join(chars[i : i + 64]) for i in range(0, len(chars), 64)] + ["Dvořák Škoda", "Nguyễn Thị Ánh", "İstanbul ığüşöç", "Łódź Żółć", "Ｆｕｌｌ ｗｉｄｔｈ", "ﬁne ½ ℡ 𝐁𝐨𝐥𝐝", "日本 ok", ""]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, t string")
+    got = {r.i: r.f for r in df.select("i", text.fold(F.col("t")).alias("f")).collect()}
+    for i, line in enumerate(lines):
+        assert got[i] == unicodedata.normalize("NFKD", line).encode("ascii", "ignore").decode(), line
+    assert one(spark, text.norm_graph(F.col("n"), F.lit("Character")), n="Dr. Dvořák Škoda") == "dvorak skoda"
