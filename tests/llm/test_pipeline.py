@@ -96,7 +96,8 @@ def test_rows_of_parquet_are_numbered(spark, tmp_path):
     whole = common.numbered(docs, folder)
     first, again = ({r.row: r.d for r in whole.select("row", F.col("doc.row").alias("d")).collect()} for _ in range(2))
     assert first == again and sorted(first.values()) == list(range(len(PAIRS)))
-    assert sorted(r.row for r in corpus_pipeline.drop_copies(spark, docs, "").collect())[0] == 0
+    kept = {r.row for r in corpus_pipeline.drop_copies(spark, docs, "").collect()}
+    assert len(kept) == 8 and len(kept & {0, 1}) == len(kept & {6, 7}) == 1  # of identical rows any one
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
