@@ -41,7 +41,7 @@ LADDER = ((3, 4), (4, 6), (5, 8))
 #: Bits by which keys are longer than it takes to tell the fingerprints apart: chance then pairs fewer than there are.
 SPARE = 4
 #: Keys that more distinct fingerprints share give a spanning forest.
-HOT = 32
+HOT = 16
 #: Fingerprints that are compared at once; keys that more share go down the ladder.
 BLOCK = 4096
 
@@ -165,10 +165,11 @@ def _keyed(rows: DataFrame, level: int) -> DataFrame:
 
 
 def _pairs(keyed: DataFrame) -> DataFrame:
-    """Links within keys that few share: from a list per key, so neither side is shuffled again."""
+    """Links within keys that few share: each fingerprint tests those after it in the key's list, so only links become rows."""
     lists = keyed.groupBy("start", "mask", "value").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    sides = lists.select("start", "fps", F.posexplode("fps").alias("i", "a")).select("start", "a", F.explode(F.expr("slice(fps, i + 2, size(fps))")).alias("b"))
-    return sides.filter(chains_hold(F.col("a").bitwiseXOR(F.col("b")), F.col("start"))).select("a", "b")
+    sides = lists.select("start", "fps", F.posexplode("fps").alias("i", "a"))
+    linked = F.filter(F.expr("slice(fps, i + 2, size(fps))"), lambda b: chains_hold(F.col("a").bitwiseXOR(b), F.col("start")))
+    return sides.select("a", F.explode(linked).alias("b"))
 
 
 def _forest(keyed: DataFrame, block: int) -> DataFrame:
