@@ -53,12 +53,12 @@ def test_golden_shape(spark):
     gold = [finding(i, f"Person{i} keeps {10 + i} grey horses", i + 3, f"Person{i} owns a single mule") for i in range(1, 14)]
     said = [finding(i, f"the {10 + i} grey horses of Person{i}", i + 3, f"a single mule owned by Person{i}") for i in range(1, 12)]
     wrong = [finding(20, "It rained", 21, "it snowed"), finding(1, "The sun rose", 9, "it was noon")]
-    rows = lambda x: spark.createDataFrame([("002", i, h) for i, h in enumerate(x)], "story_id string, id int, hallucination string")
+    rows = lambda x: spark.createDataFrame([("s", i, h) for i, h in enumerate(x)], "story_id string, id int, hallucination string")
     from narrata.plans import lifecycle
     out = lifecycle.evaluate(rows(gold).withColumnRenamed("id", "pos"), {"graph": rows(said), "judge": rows(said + wrong)}).collect()
     got = {(r.method, r.story_id): (r.tp + r.fn, r.tp, r.fp, r.fn, r.precision, r.recall, r.f1) for r in out}
-    assert got[("graph", "002")] == got[("graph", "AGGREGATE")] == (13, 11, 0, 2, 1.0, 0.8462, 0.9167)
-    assert got[("judge", "002")] == got[("judge", "AGGREGATE")] == (13, 11, 2, 2, 0.8462, 0.8462, 0.8462)
+    assert got[("graph", "s")] == got[("graph", "AGGREGATE")] == (13, 11, 0, 2, 1.0, 0.8462, 0.9167)
+    assert got[("judge", "s")] == got[("judge", "AGGREGATE")] == (13, 11, 2, 2, 0.8462, 0.8462, 0.8462)
 
 
 def test_repair_rules():
