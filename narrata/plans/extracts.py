@@ -119,7 +119,7 @@ def resolve_exact(spark, d):
 
 @query("""WITH n AS (SELECT c_nationkey AS nation, 'Ada' || (c_custkey % 50) AS head, c_custkey AS k, c_custkey % 3 = 0 AS short FROM customer),
 f AS (SELECT nation, head, min(k) FILTER (NOT short) AS first, max(k) FILTER (NOT short) AS last FROM n GROUP BY ALL)
-SELECT nation::VARCHAR AS story_id, 'c' || k AS id, 'c' || CASE WHEN k < first THEN last ELSE first END AS "into" FROM n JOIN f USING (nation, head) WHERE short AND first IS NOT NULL""")
+SELECT nation::VARCHAR AS story_id, 'c' || k AS id, 'c' || CASE WHEN k < first THEN last ELSE first END AS merged_into FROM n JOIN f USING (nation, head) WHERE short AND first IS NOT NULL""")
 def prefix_merge(spark, d):
     """Characters of one token, and of two with a last one of their own, per nation: the short ones go into fuller ones.
 
@@ -130,7 +130,7 @@ def prefix_merge(spark, d):
     base = F.concat(F.lit("Ada"), (F.col("c_custkey") % 50).cast("string"))
     name = F.when(F.col("c_custkey") % 3 == 0, base).otherwise(F.concat(base, F.lit(" "), F.regexp_replace("c_name", "[^A-Za-z0-9]", "")))
     n = c.select(F.col("c_nationkey").cast("string").alias("story_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_custkey").alias("pos"), name.alias("name"), F.lit("Character").alias("type"))
-    return resolve.merge_prefixes(n)
+    return resolve.merge_prefixes(n).withColumnRenamed("into", "merged_into")
 
 
 @query()
