@@ -71,7 +71,7 @@ def fold(col: Column) -> Column:
     text = F.coalesce(col, F.lit(""))
     spelled = F.from_json(F.lit(json.dumps(several)), "map<string, string>")
     apart = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")
-    wide = F.when(text.rlike("[" + "".join(several) + "]"), apart).otherwise(text)
+    wide = F.when(F.translate(text, "".join(several), "") != text, apart).otherwise(text)
     folded = F.regexp_replace(F.translate(wide, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
