@@ -28,10 +28,12 @@ def tfidf_weights(spark, d):
 
 
 def _sims(spark, d):
-    name = similarity.similar_pairs(_parts(spark, d, "p_name"), ["p_brand"], "p_partkey").withColumnRenamed("sim", "name_sim")
-    desc = similarity.similar_pairs(_parts(spark, d, "p_type"), ["p_brand"], "p_partkey").withColumnRenamed("sim", "desc_sim")
+    """(classes, sims): parts of a brand with the same words, and similarities between these classes."""
+    classes = similarity.Classes(table(spark, d, "part"), "p_brand", "p_partkey", ["p_name", "p_type"])
+    name, desc = classes.pairs("p_name").withColumnRenamed("sim", "name_sim"), classes.pairs("p_type").withColumnRenamed("sim", "desc_sim")
     zero = F.lit(0.0)
-    return name.join(desc, ["p_brand", "a", "b"], "full").withColumn("sim", 0.6 * F.coalesce("name_sim", zero) + 0.4 * F.coalesce("desc_sim", zero))
+    both = name.join(desc, ["p_brand", "a", "b"], "full")
+    return classes, both.select("p_brand", "a", "b", (0.6 * F.coalesce("name_sim", zero) + 0.4 * F.coalesce("desc_sim", zero)).alias("sim"))
 
 
 _SIM = "WITH {n}, ns AS (SELECT x.brand, x.k AS a, y.k AS b, sum(x.weight * y.weight) AS s FROM w x JOIN w y ON x.brand = y.brand AND x.token = y.token AND x.k < y.k GROUP BY ALL)"
@@ -41,13 +43,16 @@ sims AS (SELECT brand, a, b, 0.6 * coalesce(names.s, 0) + 0.4 * coalesce(descs.s
 
 @query(f"WITH {SIMS_SQL} SELECT brand AS p_brand, count(*) AS pairs, round(max(sim), 6) AS best, round(avg(sim), 6) AS mean FROM sims GROUP BY brand")
 def dual_similarity(spark, d):
-    return _sims(spark, d).groupBy("p_brand").agg(F.count("*").alias("pairs"), F.round(F.max("sim"), 6).alias("best"), F.round(F.avg("sim"), 6).alias("mean"))
+    classes, sims = _sims(spark, d)
+    mean = F.sum(F.col("sim") * F.col("pairs")) / F.sum("pairs")
+    return classes.counted(sims).groupBy("p_brand").agg(F.sum("pairs").alias("pairs"), F.round(F.max("sim"), 6).alias("best"), F.round(mean, 6).alias("mean"))
 
 
 @query(f"WITH {SIMS_SQL} SELECT brand AS p_brand, a, b, round(sim, 6) AS sim FROM sims WHERE sim >= 0.65 + 1e-9")
 def floor_pairs(spark, d):
     """Pairs that reach the floor below which no merge is put to the provider."""
-    return _sims(spark, d).filter(F.col("sim") >= 0.65 + 1e-9).select("p_brand", "a", "b", F.round("sim", 6).alias("sim"))
+    classes, sims = _sims(spark, d)
+    return classes.expanded(sims.filter(F.col("sim") >= 0.65 + 1e-9).withColumn("sim", F.round("sim", 6)))
 
 
 @query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.label, a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 12) AS sim FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
