@@ -2,7 +2,7 @@
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -47,3 +47,16 @@ def test_floor_pairs_of_copies(spark, parts):
     some = sims.filter("sim >= 0.65 + 1e-9")
     split = [(r.p_brand, r.a, r.b) for r in classes.expanded(some, most=3).collect()]
     assert len(split) == len(set(split)) and set(split) == set(got)
+
+
+def test_dual_similarity_of_copies(spark, parts):
+    d, rows = parts
+    want = defaultdict(list)
+    for (brand, _, _), sim in by_rows(rows).items():
+        want[brand].append(sim)
+    got = {r.p_brand: (r.pairs, r.best, r.mean) for r in scoring.dual_similarity(spark, d).collect()}
+    assert got.keys() == want.keys() and got["B7"] == (780, 1.0, 1.0)
+    for brand, sims in want.items():
+        assert got[brand] == pytest.approx((len(sims), max(sims), sum(sims) / len(sims)), abs=1e-6)
+    classes, sims = scoring._sims(spark, d)
+    assert classes.counted(sims).filter("p_brand = 'B7'").count() == 1
