@@ -61,16 +61,19 @@ def knn_edges(spark, d):
     return similarity.nearest(table(spark, d, "embeddings"), "vec_id", "label", "embedding").select("label", "vec_id", "rank", "neighbour", F.round("sim", 6).alias("sim"))
 
 
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("label").cast("string").alias("story"), "vec_id", "embedding")
+
+
 @query()
 def kmeans_clusters(spark, d):
     """Clusters of the vectors of each label: k by eigengap of their neighbour graph, then k-means."""
-    vectors = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("story"), "vec_id", "embedding")
-    return similarity.cluster(vectors, "story", "vec_id", "embedding").select("story", "vec_id", "k", "cluster")
+    return similarity.cluster(_vectors(spark, d), "story", "vec_id", "embedding").select("story", "vec_id", "k", "cluster")
 
 
 @query()
 def eigengap_k(spark, d):
-    return kmeans_clusters(spark, d).groupBy("story").agg(F.max("k").alias("k"), F.count("*").alias("n"))
+    return similarity.cluster_numbers(_vectors(spark, d), "story", "vec_id", "embedding")
 
 
 def _predicted(spark, d):
