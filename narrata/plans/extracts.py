@@ -128,7 +128,7 @@ def prefix_merge(spark, d):
     """
     c = table(spark, d, "customer")
     base = F.concat(F.lit("Ada"), (F.col("c_custkey") % 50).cast("string"))
-    name = F.when(F.col("c_custkey") % 3 == 0, base).otherwise(F.concat(base, F.lit(" "), F.regexp_replace("c_name", "[^A-Za-z0-9]", "")))
+    name = F.when(F.col("c_custkey") % 3 == 0, base).otherwise(F.concat(base, F.lit(" c"), F.col("c_custkey").cast("string")))
     n = c.select(F.col("c_nationkey").cast("string").alias("story_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_custkey").alias("pos"), name.alias("name"), F.lit("Character").alias("type"))
     return resolve.merge_prefixes(n).withColumnRenamed("into", "merged_into")
 
