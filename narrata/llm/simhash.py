@@ -245,7 +245,7 @@ BANDS, ROWS = 24, 4
 #: The ring and the radius that prune candidates: sets at the least similarity differ in about 10 bits.
 WIDE = tuple((8 * i, 8) for i in range(8))
 RADIUS = 26
-#: Rows that share a key before it is joined to the rows' other keys.
+#: Rows that share a key before its pairs with the rows' other keys are starred too.
 LARGE = 4096
 #: Rows and bytes of shingle sets in a block.
 SETS, SET_BYTES = 512, 8 << 20
@@ -388,6 +388,29 @@ def _together(keyed: DataFrame) -> DataFrame:
     return keyed.withColumn("n", F.count("*").over(of_key)).withColumn("first", F.min(F.struct("row", "fp", "size")).over(of_key)).filter("n > 1")
 
 
+def _dealt(mixed: DataFrame, sets: DataFrame, folder: str, block: int) -> DataFrame:
+    """Rows (key, row, component, fp, size, s) once for each two blocks (i, j) of their key that may hold a link, with their own ``block``.
+
+    Blocks follow the larger components, then sizes.  Two blocks of one
+    component have nothing to link, nor have two whose sizes are too far apart;
+    every other two meet.
+    """
+    members = F.count("*").over(Window.partitionBy("key", "component"))
+    place = Window.partitionBy("key").orderBy("large", "size", "row")
+    before = F.coalesce(F.sum(8 * F.col("size").cast("long")).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Each part only grows along the order, so the sum changes wherever one of them does.
+    number = F.floor((F.row_number().over(place) - 1) / F.lit(block)) + F.floor(before / F.lit(SET_BYTES)) + F.dense_rank().over(Window.partitionBy("key").orderBy("large"))
+    ranked = mixed.withColumn("large", F.when(members >= block, F.col("component"))).withColumn("block", number.cast("long")).drop("large")
+    ranked = common.stored(ranked.select("key", "row", "component", "fp", "size", "block"), folder, "ranked")
+    blocks = ranked.groupBy("key", "block").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("size").alias("s1"), F.max("size").alias("s2"))
+    i, j = (blocks.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "c1", "c2", "s1", "s2")]) for side in "ij")
+    one = (F.col("c1_i") == F.col("c2_i")) & (F.col("c1_j") == F.col("c2_j")) & (F.col("c1_i") == F.col("c1_j"))
+    apart = (LEAST[1] * F.col("s2_i") < LEAST[0] * F.col("s1_j")) | (LEAST[1] * F.col("s2_j") < LEAST[0] * F.col("s1_i"))
+    meet = i.join(j, "key").filter("block_i <= block_j").filter(~one & ~apart).select("key", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+    sides = meet.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return ranked.join(sides, ["key", "block"]).join(sets, "row").select("key", "row", "component", "fp", "size", "s", "block", "i", "j")
+
+
 def without_near_copies(docs: DataFrame, block: int = SETS, large: int = LARGE) -> DataFrame:
     """``docs`` with one row of each group of rows that near copies connect: that of the smallest doc_id.
 
@@ -398,11 +421,13 @@ def without_near_copies(docs: DataFrame, block: int = SETS, large: int = LARGE)
     (1 - 0.8**4)**24, three in a million.  Pigeonring chains within a radius of
     ``RADIUS`` prune them, and the shingle sets decide every link.
 
-    A key that more than ``large`` rows share is replaced by its pairs with each
-    of the rows' other keys.  Candidates are first compared with the first row
-    of each key; keys whose rows are then still in several components are
-    compared whole, block against block, so nothing is capped and a large group
-    of near copies does not return the square of its size.
+    Candidates are first compared with the first row of each key; of a key that
+    more than ``large`` rows share also with the first row of its pairs with each
+    of the rows' other keys, so that its near copies come together.  Every key,
+    large or not, whose rows are then still in several components is compared
+    whole, block against block but for blocks of one component, so nothing is
+    capped and a large group of near copies does not return the square of its
+    size.
 
     A null doc_id counts as greater than any other; among rows of one doc_id an
     arbitrary one stays.  Verdicts hold for rows, so rows that share a doc_id
@@ -415,30 +440,23 @@ def without_near_copies(docs: DataFrame, block: int = SETS, large: int = LARGE)
     texts = whole.select("row", "doc.text")
     signed = common.stored(_signatures(texts), folder, "signed")
     shared = common.stored(_together(signed.select("row", "fp", "size", F.explode("keys").alias("key"))), folder, "shared")
-    over = shared.filter(F.col("n") > large)
+    starred, over = shared, shared.filter(F.col("n") > large)
     if not over.isEmpty():
         both = over.select("row", "fp", "size", "key").join(signed.select("row", "keys"), "row").withColumn("other", F.explode("keys")).filter("other <> key")
         longer = both.select("row", "fp", "size", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
-        shared = common.stored(shared.filter(F.col("n") <= large).unionByName(_together(longer)), folder, "longer")
+        starred = common.stored(shared.unionByName(_together(longer)), folder, "longer")
 
     sets = common.stored(_sets(texts.join(shared.select("row").distinct(), "row")), folder, "sets")
     sides = [sets.select(F.col("row").alias(c), F.col("s").alias(f"s{c}")) for c in "ab"]
-    pairs = shared.filter("row <> first.row").select(F.col("first.row").alias("a"), F.col("first.fp").alias("fa"), F.col("first.size").alias("na"), F.col("row").alias("b"), F.col("fp").alias("fb"), F.col("size").alias("nb"))
+    pairs = starred.filter("row <> first.row").select(F.col("first.row").alias("a"), F.col("first.fp").alias("fa"), F.col("first.size").alias("na"), F.col("row").alias("b"), F.col("fp").alias("fb"), F.col("size").alias("nb"))
     pairs = pairs.filter(_sized_alike("na", "nb")).filter(_some_chain_holds(F.col("fa").bitwiseXOR(F.col("fb")))).select("a", "b").distinct()
     star = common.stored(_linked(pairs.join(sides[0], "a").join(sides[1], "b")), folder, "star")
     labels = common.connected_components(star, folder, "near")
 
     placed = shared.select("key", "row", "fp", "size").join(labels, F.col("row") == F.col("v"), "left").select("key", "row", "fp", "size", F.coalesce("root", "row").alias("component"))
     of_key = Window.partitionBy("key")
-    mixed = placed.withColumn("c1", F.min("component").over(of_key)).withColumn("c2", F.max("component").over(of_key)).withColumn("n", F.count("*").over(of_key)).withColumn("bytes", 8 * F.sum(F.col("size").cast("long")).over(of_key)).filter("c1 <> c2")
-    dealt = (
-        mixed.drop("c1", "c2").join(sets, "row")
-        .withColumn("m", F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("bytes") / F.lit(SET_BYTES))).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("row"), F.col("m")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, m - 1)")))
-        .select("key", "row", "component", "fp", "size", "s", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    )
-    full = dealt.groupBy("key", "i", "j").applyInArrow(_set_links, "a long, b long")
+    mixed = placed.withColumn("c1", F.min("component").over(of_key)).withColumn("c2", F.max("component").over(of_key)).filter("c1 <> c2").drop("c1", "c2")
+    full = _dealt(mixed, sets, folder, block).groupBy("key", "i", "j").applyInArrow(_set_links, "a long, b long")
     linked = common.connected_components(star.union(full), folder, "all")
     ids = whole.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"))
     linked = linked.join(ids, F.col("v") == F.col("row")).select("root", "row", "doc_id")
