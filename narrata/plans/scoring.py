@@ -27,9 +27,14 @@ def tfidf_weights(spark, d):
     return _parts(spark, d, "p_name").select("p_partkey", "token", F.round("weight", 6).alias("weight"))
 
 
+def _classes(spark, d):
+    """Parts of a brand with the same words."""
+    return similarity.Classes(table(spark, d, "part"), "p_brand", "p_partkey", ["p_name", "p_type"])
+
+
 def _sims(spark, d):
     """(classes, sims): parts of a brand with the same words, and similarities between these classes."""
-    classes = similarity.Classes(table(spark, d, "part"), "p_brand", "p_partkey", ["p_name", "p_type"])
+    classes = _classes(spark, d)
     name, desc = classes.pairs("p_name").withColumnRenamed("sim", "name_sim"), classes.pairs("p_type").withColumnRenamed("sim", "desc_sim")
     zero = F.lit(0.0)
     both = name.join(desc, ["p_brand", "a", "b"], "full")
@@ -43,9 +48,8 @@ sims AS (SELECT brand, a, b, 0.6 * coalesce(names.s, 0) + 0.4 * coalesce(descs.s
 
 @query(f"WITH {SIMS_SQL} SELECT brand AS p_brand, count(*) AS pairs, round(max(sim), 6) AS best, round(avg(sim), 6) AS mean FROM sims GROUP BY brand")
 def dual_similarity(spark, d):
-    classes, sims = _sims(spark, d)
-    mean = F.sum(F.col("sim") * F.col("pairs")) / F.sum("pairs")
-    return classes.counted(sims).groupBy("p_brand").agg(F.sum("pairs").alias("pairs"), F.round(F.max("sim"), 6).alias("best"), F.round(mean, 6).alias("mean"))
+    totals = similarity.pair_totals(_classes(spark, d).vectors(), "p_brand", [0.6, 0.4])
+    return totals.select("p_brand", "pairs", F.round("best", 6).alias("best"), F.round("mean", 6).alias("mean"))
 
 
 @query(f"WITH {SIMS_SQL} SELECT brand AS p_brand, a, b, round(sim, 6) AS sim FROM sims WHERE sim >= 0.65 + 1e-9")
